@@ -1,0 +1 @@
+"""Incremental report refresh (see README)."""
