@@ -6,6 +6,7 @@ from fleetlens.functions.calendar import (
     period,
     period_end,
     quarter_label,
+    quarter_label_of,
     season,
 )
 from fleetlens.functions.exact import (
@@ -34,6 +35,7 @@ __all__ = [
     "period",
     "period_end",
     "quarter_label",
+    "quarter_label_of",
     "ratio",
     "season",
 ]

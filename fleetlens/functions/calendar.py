@@ -50,11 +50,16 @@ def month_label(col: Column | str) -> Column:
 def quarter_label(col: Column | str) -> Column:
     """``Q<quarter>-<year>``; a null date gives ``Q-`` (null parts are skipped)."""
     c = _c(col)
+    return quarter_label_of(F.year(c), F.quarter(c))
+
+
+def quarter_label_of(year: Column, quarter: Column) -> Column:
+    """``Q<quarter>-<year>`` from year and quarter numbers, skipping null parts."""
     return F.concat(
         F.lit("Q"),
-        F.coalesce(F.quarter(c).cast("string"), F.lit("")),
+        F.coalesce(quarter.cast("string"), F.lit("")),
         F.lit("-"),
-        F.coalesce(F.year(c).cast("string"), F.lit("")),
+        F.coalesce(year.cast("string"), F.lit("")),
     )
 
 
