@@ -26,3 +26,16 @@ def oracle_queries() -> dict[str, str]:
         for key, body in mod.SQL.items():
             out[key] = with_tables(body)
     return out
+
+
+def oracle_bodies() -> dict[str, str]:
+    """The report queries without the fixture-derivation CTEs.
+
+    They read tables named like the logical tables, so they also run on any
+    DuckDB connection holding those eight tables (used by the micro tests).
+    """
+    out: dict[str, str] = {}
+    for name in _MODULES:
+        mod = importlib.import_module(f"oracle.{name}")
+        out.update({key: body.strip() for key, body in mod.SQL.items()})
+    return out
