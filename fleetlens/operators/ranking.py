@@ -1,6 +1,6 @@
 """Dense ranks, top-k cuts and n-tiles (B5, B6).
 
-Three ways to rank, picked by the caller from what it knows about the input:
+Ways to rank:
 
 ``window``       one ``dense_rank`` window. Every rank group is sorted in one
                  task, so only for inputs bounded by a small domain (months,
@@ -13,6 +13,11 @@ Three ways to rank, picked by the caller from what it knows about the input:
                  across many partitions, numbered inside each partition, and
                  shifted by the counts of the partitions before them. No task
                  holds more than one range partition.
+``auto``         stores the input once, measures its largest rank group and
+                 uses ``window`` when that group fits the per-task row limit
+                 (``spark.fleetlens.rank.maxGroupRowsPerTask``), otherwise
+                 ``distributed``. Exact either way; only the physical plan
+                 differs, like a size-checked broadcast.
 
 Order follows the reference dialect: descending puts nulls first, ascending
 puts them last.
@@ -25,7 +30,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.session import ensure_checkpoint_dir
+from fleetlens.session import materialize
+
+MAX_GROUP_ROWS_CONF = "spark.fleetlens.rank.maxGroupRowsPerTask"
+DEFAULT_MAX_GROUP_ROWS = 2_000_000
+
+
+def max_group_rows(df: DataFrame) -> int:
+    """Largest rank group one task may sort (session setting, else the default)."""
+    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+
+
+def largest_group(df: DataFrame, partition_by: Sequence[str]) -> int:
+    """Row count of the largest group (one number returned to the driver)."""
+    if partition_by:
+        counts = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n"))
+        top = counts.agg(F.max("_n")).first()[0]
+    else:
+        top = df.agg(F.count(F.lit(1))).first()[0]
+    return int(top or 0)
 
 
 def sort_key(col: str, descending: bool) -> Column:
@@ -69,15 +92,16 @@ def _number_sorted(sorted_df: DataFrame, group_cols: Sequence[str]) -> DataFrame
     Positions inside a partition come from ``monotonically_increasing_id``
     after the sort; the per-partition row counts (at most one row per
     partition and group) give each partition's offset. The numbered rows are
-    checkpointed to the shared checkpoint folder so the offsets and the rows
-    are read from the same fixed data, also after an executor is lost.
+    written to the shared checkpoint folder so the offsets and the rows are
+    read from the same fixed data, also after an executor is lost.
     """
-    ensure_checkpoint_dir(sorted_df.sparkSession)
-    tagged = sorted_df.select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().alias("_pos"),
-    ).checkpoint(eager=True)
+    tagged = materialize(
+        sorted_df.select(
+            "*",
+            F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().alias("_pos"),
+        )
+    )
     stats = tagged.groupBy("_part", *group_cols).agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
@@ -143,6 +167,11 @@ def dense_rank(
     *,
     strategy: str = "window",
 ) -> DataFrame:
+    if strategy == "auto":
+        # The input is read more than once (size check, then the rank): store it once.
+        df = materialize(df)
+        fits = largest_group(df, partition_by) <= max_group_rows(df)
+        strategy = "window" if fits else "distributed"
     if strategy == "window":
         return dense_rank_window(df, order_col, rank_name, partition_by, descending)
     if strategy == "distributed":
@@ -155,9 +184,15 @@ def first_ntile(df: DataFrame, order: Sequence[Column], buckets: int, bucket_nam
 
     An n-tile over n rows gives the first ``n % buckets`` tiles one extra row,
     so tile 1 holds ``ceil(n / buckets)`` rows (all rows when n < buckets would
-    each be their own tile: tile 1 is then the first row). The rows are
-    numbered by a distributed sort instead of an unpartitioned window.
+    each be their own tile: tile 1 is then the first row). Beyond the
+    per-task row limit the rows are numbered by a distributed sort instead
+    of an unpartitioned window.
     """
+    df = materialize(df)
+    if largest_group(df, []) <= max_group_rows(df):
+        # Small enough for one task: the plain n-tile window.
+        tile = F.ntile(buckets).over(Window.orderBy(*order))
+        return df.withColumn(bucket_name, tile.cast("bigint")).where(F.col(bucket_name) == 1)
     numbered = _number_sorted(df.orderBy(*order), [])
     size = F.ceil(F.col("_group_rows") / F.lit(buckets))
     return numbered.where(F.col("_rownum") <= size).select(

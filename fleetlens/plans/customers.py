@@ -23,26 +23,35 @@ def customer_revenue(
 ) -> DataFrame:
     """Revenue, load count and revenue count per customer (and load period).
 
-    Loads are aggregated per (customer, period) before the join to the
-    customer table, so the join sees one row per key on the fact side. The
-    result is aggregated again by the report keys, which keeps the exact
-    semantics of joining first even if a customer id repeated.
+    Without a period, loads are aggregated per customer (the join key) before
+    the join to the customer table, so the join sees one row per customer on
+    the fact side and reuses the aggregate's partitioning; the result is
+    aggregated again by the report keys, which keeps the semantics of joining
+    first even if a customer id repeated. With a period, a pre-aggregate
+    would be keyed by (customer, period) and need its own shuffle, so loads
+    are joined first and aggregated once (the join's partitioning on the
+    customer id already serves that aggregate).
     """
     loads = loads if loads is not None else t.loads
-    pkeys = [period("load_date", unit).alias(unit)] if unit else []
-    pre = loads.groupBy("customer_id", *pkeys).agg(
-        F.sum("revenue").alias("rev"),
+    cust_cols = ["customer_id"] + (["customer_name"] if with_name else [])
+    customers = t.customers.select(*cust_cols)
+    if unit is None:
+        pre = loads.groupBy("customer_id").agg(
+            F.sum("revenue").alias("rev"),
+            F.count("load_id").alias("n_loads"),
+            F.count("revenue").alias("n_rev"),
+        )
+        return pre.join(customers, "customer_id").groupBy(*cust_cols).agg(
+            F.sum("rev").alias("revenue"),
+            F.sum("n_loads").alias("n_loads"),
+            F.sum("n_rev").alias("n_rev"),
+        )
+    facts = loads.select("customer_id", "load_id", "revenue", period("load_date", unit).alias(unit))
+    return facts.join(customers, "customer_id").groupBy(*cust_cols, unit).agg(
+        F.sum("revenue").alias("revenue"),
         F.count("load_id").alias("n_loads"),
         F.count("revenue").alias("n_rev"),
     )
-    cust_cols = ["customer_id"] + (["customer_name"] if with_name else [])
-    joined = pre.join(t.customers.select(*cust_cols), "customer_id")
-    keys = cust_cols + ([unit] if unit else [])
-    return joined.groupBy(*keys).agg(
-        F.sum("rev").alias("revenue"),
-        F.sum("n_loads").alias("n_loads"),
-        F.sum("n_rev").alias("n_rev"),
-    )
 
 
 @report("customer_revenue", 39, "Total revenue per customer")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import in_period, period, ratio
@@ -24,42 +24,45 @@ from fleetlens.sources import Tables
 def route_fuel(t: Tables, unit: str | None = None) -> DataFrame:
     """Fuel cost per route (and per dispatch period when ``unit`` is given).
 
-    loads -> trips -> fuel is joined from the many side up: fuel is summed
-    per trip, joined to trips, summed again per (load, period) and only then
-    joined to loads, so each shuffle carries at most one row per key.
+    Fuel is summed per trip (the join key) before it meets the trips. For the
+    all-time total the trip results are summed again per load, again the key
+    of the next join, so each shuffle carries one row per key and the
+    aggregate's partitioning is reused by the join. With a period the load
+    pre-aggregation would be keyed by (load, period) and need its own
+    shuffle, so the loads are joined first and aggregated once.
     """
-    pkeys = [period("dispatch_date", unit).alias(unit)] if unit else []
-    trips = t.trips.select("trip_id", "load_id", *pkeys)
-    per_load = (
-        trips.join(fuel_per_trip(t), "trip_id")
-        .groupBy("load_id", *([unit] if unit else []))
-        .agg(F.sum("trip_fuel_cost").alias("fuel"))
-    )
-    joined = per_load.join(t.loads.select("load_id", "route_id"), "load_id")
-    return joined.groupBy("route_id", *([unit] if unit else [])).agg(
-        F.sum("fuel").alias("fuel_cost")
+    if unit is None:
+        trips = t.trips.select("trip_id", "load_id")
+        per_load = (
+            trips.join(fuel_per_trip(t), "trip_id")
+            .groupBy("load_id")
+            .agg(F.sum("trip_fuel_cost").alias("fuel"))
+        )
+        joined = per_load.join(t.loads.select("load_id", "route_id"), "load_id")
+        return joined.groupBy("route_id").agg(F.sum("fuel").alias("fuel_cost"))
+    trips = t.trips.select("trip_id", "load_id", period("dispatch_date", unit).alias(unit))
+    joined = trips.join(fuel_per_trip(t), "trip_id").join(
+        t.loads.select("load_id", "route_id"), "load_id"
     )
+    return joined.groupBy("route_id", unit).agg(F.sum("trip_fuel_cost").alias("fuel_cost"))
 
 
 def route_period_profit(t: Tables, unit: str) -> DataFrame:
     """Net profit per (route, dispatch period): revenue counted once per trip, minus fuel.
 
     One pass instead of two aggregates and a join: trips are left-joined to
-    their summed fuel and pre-aggregated per (load, period) into a trip count
-    and a fuel sum, then joined to loads; revenue is ``revenue * trips``.
-    A (route, period) with no fuel gets 0, and so does one whose route or
-    period is null (a null key never matches in the two-aggregate form).
+    their summed fuel and to their load, then aggregated once per (route,
+    period). A (route, period) with no fuel gets 0, and so does one whose
+    route or period is null (a null key never matches in the two-aggregate
+    form).
     """
     trips = t.trips.select("trip_id", "load_id", period("dispatch_date", unit).alias(unit))
-    per_load = (
-        trips.join(fuel_per_trip(t), "trip_id", "left")
-        .groupBy("load_id", unit)
-        .agg(F.count(F.lit(1)).alias("n_trips"), F.sum("trip_fuel_cost").alias("fuel"))
+    joined = trips.join(fuel_per_trip(t), "trip_id", "left").join(
+        t.loads.select("load_id", "route_id", "revenue"), "load_id"
     )
-    joined = per_load.join(t.loads.select("load_id", "route_id", "revenue"), "load_id")
     agg = joined.groupBy("route_id", unit).agg(
-        F.sum(F.col("revenue") * F.col("n_trips")).alias("total_revenue"),
-        F.sum("fuel").alias("fuel_cost"),
+        F.sum("revenue").alias("total_revenue"),
+        F.sum("trip_fuel_cost").alias("fuel_cost"),
     )
     fuel = F.when(
         F.col("route_id").isNotNull() & F.col(unit).isNotNull(),
@@ -120,10 +123,12 @@ def route_top5_quarter(t: Tables) -> DataFrame:
 @report("route_rising_fuel", 14, "Routes whose fuel cost rose over the last 3 months")
 def route_rising_fuel(t: Tables) -> DataFrame:
     monthly = route_fuel(t, "month")
-    since = monthly.agg(F.add_months(F.max("month"), -2)).scalar()
+    # The latest month of the aggregated (route, month) rows: a window over
+    # that small result instead of a subquery that would aggregate again.
+    monthly = monthly.withColumn("latest", F.max("month").over(Window.partitionBy()))
     rising = consecutive_rise(
         monthly, ["route_id"], "month", "fuel_cost",
-        ["prev_month_cost", "prev_2_month_cost"], since,
+        ["prev_month_cost", "prev_2_month_cost"], F.add_months(F.col("latest"), -2),
     )
     return rising.select(
         "route_id", "month", "fuel_cost", "prev_month_cost", "prev_2_month_cost"
@@ -156,4 +161,7 @@ def route_top_revenue_latest_month(t: Tables) -> DataFrame:
     )
     joined = recent.join(t.loads.select("load_id", "route_id", "revenue"), "load_id")
     monthly = joined.groupBy("route_id", "month").agg(F.sum("revenue").alias("total_revenue"))
-    return holders_of_max(monthly, "total_revenue").select("route_id", "month", "total_revenue")
+    # One row per route: the maximum is taken by a window over that small result.
+    return holders_of_max(monthly, "total_revenue", bounded=True).select(
+        "route_id", "month", "total_revenue"
+    )

@@ -63,9 +63,10 @@ def incident_mom(t: Tables) -> DataFrame:
 
 @report("driver_incident_rank", 49, "Drivers ranked by incident count")
 def driver_incident_rank(t: Tables) -> DataFrame:
-    # Every driver is in one rank group: ranked by a distributed sort.
+    # Every driver is in one rank group: a size-checked rank (distributed
+    # sort beyond the per-task limit).
     ranked = dense_rank(
-        _driver_incidents(t), "total_incidents", "incident_frequency_rank", strategy="distributed"
+        _driver_incidents(t), "total_incidents", "incident_frequency_rank", strategy="auto"
     )
     return ranked.orderBy(F.col("total_incidents").desc())
 

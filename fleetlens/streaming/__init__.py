@@ -1 +1,8 @@
-"""Incremental report refresh (see README)."""
+"""Streaming: intentionally empty.
+
+The reports are batch statements over static tables; none of them has a
+watermark, event-time window, state or late-data rule, so there is nothing to
+run as a Structured Streaming query. Every report is a plain DataFrame plan,
+so a caller that receives fact files continuously can re-run a report per
+micro-batch from ``foreachBatch`` without anything from this package.
+"""

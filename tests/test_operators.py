@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators import (
+    dense_rank,
     dense_rank_distributed,
     dense_rank_window,
     first_ntile,
@@ -15,6 +16,7 @@ from fleetlens.operators import (
     sort_key,
     trailing_mean,
 )
+from fleetlens.operators.ranking import MAX_GROUP_ROWS_CONF
 
 
 def _sorted(df, cols):
@@ -45,14 +47,30 @@ def test_distributed_dense_rank_equals_window(spark, values, descending, parts):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("limit", ["0", "1000000"])
 @pytest.mark.parametrize("n", [0, 1, 3, 10, 11, 25, 101])
-def test_first_ntile_equals_ntile_window(spark, n):
+def test_first_ntile_equals_ntile_window(spark, n, limit):
     rows = [(i, D(i % 7)) for i in range(n)]
     df = spark.createDataFrame(rows, "id long, v decimal(10,2)")
     order = [sort_key("v", True), F.col("id").asc_nulls_last()]
     want = df.withColumn("b", F.ntile(10).over(Window.orderBy(*order))).where("b = 1")
-    got = first_ntile(df, order, 10, "b")
-    assert _sorted(got, ["id", "b"]) == _sorted(want, ["id", "b"])
+    spark.conf.set(MAX_GROUP_ROWS_CONF, limit)  # "0" forces the distributed numbering
+    try:
+        got = first_ntile(df, order, 10, "b")
+        assert _sorted(got, ["id", "b"]) == _sorted(want, ["id", "b"])
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS_CONF)
+
+
+@pytest.mark.parametrize("limit", ["0", "1000000"])
+def test_auto_rank_equals_window_either_way(spark, values, limit):
+    spark.conf.set(MAX_GROUP_ROWS_CONF, limit)
+    try:
+        want = dense_rank_window(values, "v", "rk", ["grp"])
+        got = dense_rank(values, "v", "rk", ["grp"], strategy="auto")
+        assert _sorted(got, ["id", "rk"]) == _sorted(want, ["id", "rk"])
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS_CONF)
 
 
 def test_period_delta_drops_rows_after_a_null_measure(spark):

@@ -9,6 +9,7 @@ import pytest
 from conftest import SF001
 from micro import spark_tables
 
+from fleetlens.operators.ranking import MAX_GROUP_ROWS_CONF
 from fleetlens.plans.registry import decimals_to_double, load_all
 from fleetlens.sources import load_fixture_tables, read_tables, write_tables
 
@@ -33,8 +34,8 @@ def stored_tables(spark):
     return read_tables(spark, os.path.join(path, "t"))
 
 
-# Reports that rank with a distributed sort take a checkpoint while the plan
-# is built; their plans are checked through the other tests.
+# Reports with a size-checked rank store their input while the plan is
+# built; their plans are checked through the other tests.
 _EAGER = {"driver_monthly_on_time_rank", "driver_top_decile", "truck_revenue_rank_monthly",
           "driver_incident_rank"}
 
@@ -92,6 +93,11 @@ def test_same_answer_for_any_partitioning(spark, fixture_tables, key):
         assert run() == base
         spark.conf.set("spark.sql.shuffle.partitions", "1")
         assert run() == base
+        # Force the distributed rank / n-tile path in the size-checked reports.
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
+        assert run() == base
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+        spark.conf.unset(MAX_GROUP_ROWS_CONF)
