@@ -18,6 +18,7 @@ from fleetlens.operators.ranking import (
     sort_key,
     top_dense_rank,
 )
+from fleetlens.operators.presentation import present
 from fleetlens.operators.rolling import trailing_mean
 
 __all__ = [
@@ -35,6 +36,7 @@ __all__ = [
     "latest_period_start",
     "latest_value",
     "period_delta",
+    "present",
     "since_months_before_latest",
     "sort_key",
     "top_dense_rank",

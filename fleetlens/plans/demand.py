@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import month_label, period, quarter_label_of, ratio, season
-from fleetlens.operators import period_delta, sort_key, top_dense_rank
+from fleetlens.operators import period_delta, present, sort_key, top_dense_rank
 from fleetlens.plans.registry import report
 from fleetlens.sources import Tables
 
@@ -23,7 +23,9 @@ def _monthly_loads(t: Tables, count_name: str) -> DataFrame:
 
 def _chronological(df: DataFrame, *cols) -> DataFrame:
     """Sort by the month date, then replace it by its text label."""
-    return df.orderBy(F.col("m").asc_nulls_last()).select(month_label("m").alias("month"), *cols)
+    return present(df, F.col("m").asc_nulls_last(), bounded=True).select(
+        month_label("m").alias("month"), *cols
+    )
 
 
 @report("load_volume_monthly", 52, "Monthly load volume")
@@ -61,7 +63,7 @@ def load_volume_quarterly(t: Tables) -> DataFrame:
     q = t.loads.groupBy(
         F.year("load_date").alias("y"), F.quarter("load_date").alias("q")
     ).agg(F.count(F.lit(1)).alias("load_volume"))
-    return q.orderBy(F.col("y").asc_nulls_last(), F.col("q").asc_nulls_last()).select(
+    return present(q, F.col("y").asc_nulls_last(), F.col("q").asc_nulls_last(), bounded=True).select(
         quarter_label_of(F.col("y"), F.col("q")).alias("quarter"), "load_volume"
     )
 
@@ -79,7 +81,7 @@ def load_volume_mom(t: Tables) -> DataFrame:
 def _peak_months(t: Tables, count_name: str, rank_name: str) -> DataFrame:
     monthly = _monthly_loads(t, count_name)
     top = top_dense_rank(monthly, count_name, rank_name, 1)
-    return top.orderBy(F.col("m").asc_nulls_last()).select(
+    return present(top, F.col("m").asc_nulls_last(), bounded=True).select(
         month_label("m").alias("load_month"), count_name, rank_name
     )
 
@@ -98,12 +100,13 @@ def season_revenue_share(t: Tables) -> DataFrame:
     # is the sum of the at most six season rows: no second scan of loads.
     total = F.sum("seasonal").over(Window.partitionBy())
     with_total = seasonal.withColumn("total", total)
-    return with_total.select(
+    out = with_total.select(
         "season",
         F.round("seasonal", 2).alias("seasonal_revenue"),
         F.round("total", 2).alias("total_revenue"),
         ratio(F.col("seasonal"), F.col("total"), 2, pct=True).alias("seasonal_revenue_contribution"),
-    ).orderBy(sort_key("seasonal_revenue_contribution", True))
+    )
+    return present(out, sort_key("seasonal_revenue_contribution", True), bounded=True)
 
 
 @report("busiest_load_month", 59, "Month with the highest load volume")

@@ -11,6 +11,7 @@ from fleetlens.operators import (
     attach_one_row,
     dense_rank,
     period_delta,
+    present,
     sort_key,
     trailing_mean,
 )
@@ -36,7 +37,7 @@ def _mean(scale: int) -> F.Column:
 @report("route_mpg", 33, "Average MPG per route")
 def route_mpg(t: Tables) -> DataFrame:
     out = _route_mpg_sums(t).select("route_id", _mean(2).alias("avg_mpg"))
-    return out.orderBy(sort_key("avg_mpg", True))
+    return present(out, sort_key("avg_mpg", True), bounded=True)
 
 
 @report("route_fuel_per_mile", 34, "Fuel cost per mile per route")
@@ -55,12 +56,13 @@ def route_fuel_per_mile(t: Tables) -> DataFrame:
     agg = joined.groupBy("route_id").agg(
         F.sum("miles").alias("total_miles"), F.sum("fuel").alias("fuel")
     )
-    return agg.select(
+    out = agg.select(
         "route_id",
         "total_miles",
         F.round("fuel", 2).alias("total_fuel_cost"),
         ratio(F.col("fuel"), F.col("total_miles"), 2).alias("cost_per_mile"),
-    ).orderBy(sort_key("cost_per_mile", True))
+    )
+    return present(out, sort_key("cost_per_mile", True), bounded=True)
 
 
 @report("route_mpg_mom", 35, "Month-over-month MPG per route")
@@ -69,13 +71,14 @@ def route_mpg_mom(t: Tables) -> DataFrame:
         "route_id", "month", fixed_quotient(F.col("mpg_sum"), F.col("mpg_n")).alias("cur")
     )
     out = period_delta(monthly, ["route_id"], "month", "cur", "prev", keep_first=False)
-    return out.select(
+    out = out.select(
         "route_id",
         "month",
         F.round("prev", 2).alias("prev_month_mpg"),
         F.round("cur", 2).alias("current_month_mpg"),
         F.round(F.col("cur") - F.col("prev"), 2).alias("mpg_trend"),
-    ).orderBy(F.col("route_id").asc_nulls_last(), "month")
+    )
+    return present(out, F.col("route_id").asc_nulls_last(), "month", bounded=True)
 
 
 @report("route_mpg_rank", 36, "Routes ranked by MPG")
@@ -83,7 +86,7 @@ def route_mpg_rank(t: Tables) -> DataFrame:
     routes = _route_mpg_sums(t).select("route_id", _mean(2).alias("avg_mpg"))
     # One row per route: a small, bounded rank input.
     ranked = dense_rank(routes, "avg_mpg", "mpg_rank")
-    return ranked.orderBy(sort_key("avg_mpg", True))
+    return present(ranked, sort_key("avg_mpg", True), bounded=True)
 
 
 @report("route_mpg_below_median", 37, "Routes with MPG below the median route")
@@ -94,11 +97,12 @@ def route_mpg_below_median(t: Tables) -> DataFrame:
     # Interpolated median over one value per route (exact percentile, not approximate).
     median = routes.agg(F.percentile(F.col("mpg_d"), F.lit(0.5)).alias("median_d"))
     both = attach_one_row(routes, median)
-    return both.where(F.col("mpg_d") < F.col("median_d")).select(
+    out = both.where(F.col("mpg_d") < F.col("median_d")).select(
         "route_id",
         _mean(4).alias("avg_mpg"),
         F.round(F.col("median_d"), 4).alias("fleet_median"),
-    ).orderBy(sort_key("avg_mpg", True))
+    )
+    return present(out, sort_key("avg_mpg", True), bounded=True)
 
 
 @report("route_rolling_mpg", 38, "Rolling 3-month MPG per route")
@@ -112,6 +116,5 @@ def route_rolling_mpg(t: Tables) -> DataFrame:
     out = trailing_mean(
         monthly, ["route_id"], "month", "fixed_mpg", "rolling_avg_mpg", 3, 4, num_type=WIDE_FIXED
     )
-    return out.select("route_id", "month", "avg_mpg", "rolling_avg_mpg").orderBy(
-        F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last()
-    )
+    out = out.select("route_id", "month", "avg_mpg", "rolling_avg_mpg")
+    return present(out, F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last(), bounded=True)

@@ -13,6 +13,7 @@ from fleetlens.operators import (
     holders_of_max,
     latest_period_start,
     period_delta,
+    present,
     sort_key,
     top_dense_rank,
 )
@@ -87,18 +88,18 @@ def route_profit(t: Tables) -> DataFrame:
 @report("route_revenue", 9, "Total revenue per route")
 def route_revenue(t: Tables) -> DataFrame:
     agg = t.loads.groupBy("route_id").agg(F.round(F.sum("revenue"), 2).alias("total_revenue"))
-    return agg.orderBy(sort_key("total_revenue", True))
+    return present(agg, sort_key("total_revenue", True), bounded=True)
 
 
 @report("route_fuel_cost", 10, "Total fuel cost per route")
 def route_fuel_cost(t: Tables) -> DataFrame:
     out = route_fuel(t).select("route_id", F.round("fuel_cost", 2).alias("total_fuel_cost"))
-    return out.orderBy(sort_key("total_fuel_cost", True))
+    return present(out, sort_key("total_fuel_cost", True), bounded=True)
 
 
 @report("route_net_profit", 11, "Net profit (revenue - fuel) per route")
 def route_net_profit(t: Tables) -> DataFrame:
-    return route_profit(t).orderBy(sort_key("net_profit", True))
+    return present(route_profit(t), sort_key("net_profit", True), bounded=True)
 
 
 @report("route_profit_mom", 12, "Monthly profit trend per route")
@@ -108,16 +109,15 @@ def route_profit_mom(t: Tables) -> DataFrame:
         monthly, ["route_id"], "month", "net_profit",
         "previous_month_profit", "profit_trend", keep_first=True, change_scale=2,
     )
-    return out.select(
-        "route_id", "month", "previous_month_profit", "net_profit", "profit_trend"
-    ).orderBy(F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last())
+    out = out.select("route_id", "month", "previous_month_profit", "net_profit", "profit_trend")
+    return present(out, F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last(), bounded=True)
 
 
 @report("route_top5_quarter", 13, "Top 5 routes by profit in each quarter")
 def route_top5_quarter(t: Tables) -> DataFrame:
     quarterly = route_period_profit(t, "quarter")
     top = top_dense_rank(quarterly, "net_profit", "rank_in_quarter", 5, ["quarter"])
-    return top.orderBy(F.col("quarter").asc_nulls_last(), "rank_in_quarter")
+    return present(top, F.col("quarter").asc_nulls_last(), "rank_in_quarter", bounded=True)
 
 
 @report("route_rising_fuel", 14, "Routes whose fuel cost rose over the last 3 months")
@@ -130,9 +130,8 @@ def route_rising_fuel(t: Tables) -> DataFrame:
         monthly, ["route_id"], "month", "fuel_cost",
         ["prev_month_cost", "prev_2_month_cost"], F.add_months(F.col("latest"), -2),
     )
-    return rising.select(
-        "route_id", "month", "fuel_cost", "prev_month_cost", "prev_2_month_cost"
-    ).orderBy(F.col("route_id").asc_nulls_last(), "month")
+    out = rising.select("route_id", "month", "fuel_cost", "prev_month_cost", "prev_2_month_cost")
+    return present(out, F.col("route_id").asc_nulls_last(), "month", bounded=True)
 
 
 @report("route_profit_vs_company", 15, "Route profit against the company average")
@@ -144,13 +143,14 @@ def route_profit_vs_company(t: Tables) -> DataFrame:
     both = attach_one_row(profit, average)
     diff = F.col("net_profit") - F.col("company_average")
     sign = F.when(diff > 0, 1).when(diff < 0, -1).when(diff == 0, 0)
-    return both.select(
+    out = both.select(
         "route_id",
         "net_profit",
         "company_average",
         F.round(diff, 2).alias("difference"),
         comparison_label(sign).alias("difference_status"),
-    ).orderBy(F.col("route_id").asc_nulls_last())
+    )
+    return present(out, F.col("route_id").asc_nulls_last(), bounded=True)
 
 
 @report("route_top_revenue_latest_month", 16, "Route(s) with the highest revenue in the latest month")

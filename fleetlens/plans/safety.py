@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import COUNT, month_label, period, ratio
-from fleetlens.operators import dense_rank, period_delta, sort_key
+from fleetlens.operators import dense_rank, period_delta, present, sort_key
 from fleetlens.plans.registry import report
 from fleetlens.sources import Tables
 
@@ -53,7 +53,7 @@ def incident_mom(t: Tables) -> DataFrame:
         monthly, [], "m", "current_month_incidents", "prev_month_incidents",
         "monthly_incident_change", keep_first=False,
     )
-    return out.orderBy(F.col("m").asc_nulls_last()).select(
+    return present(out, F.col("m").asc_nulls_last(), bounded=True).select(
         month_label("m").alias("incident_month"),
         "prev_month_incidents",
         "current_month_incidents",
