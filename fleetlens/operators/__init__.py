@@ -1,6 +1,11 @@
 """Reusable DataFrame -> DataFrame operators the reports are composed of."""
 
-from fleetlens.operators.benchmark import attach_one_row, comparison_label, global_totals
+from fleetlens.operators.benchmark import (
+    attach_one_row,
+    comparison_label,
+    global_totals,
+    share_of_total,
+)
 from fleetlens.operators.change import consecutive_rise, period_delta, with_previous
 from fleetlens.operators.horizon import (
     holders_of_max,
@@ -37,6 +42,7 @@ __all__ = [
     "latest_value",
     "period_delta",
     "present",
+    "share_of_total",
     "since_months_before_latest",
     "sort_key",
     "top_dense_rank",

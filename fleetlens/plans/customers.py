@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import COUNT, period, ratio
 from fleetlens.operators import (
-    attach_one_row,
-    global_totals,
     in_latest_period,
     period_delta,
+    share_of_total,
     sort_key,
     top_dense_rank,
 )
@@ -108,14 +107,13 @@ def customer_top5_quarter(t: Tables) -> DataFrame:
 @report("customer_revenue_share", 43, "Customer share of total revenue")
 def customer_revenue_share(t: Tables) -> DataFrame:
     per_customer = customer_revenue(t, with_name=True)
-    total = global_totals(per_customer, grand=F.sum("revenue"))
-    both = attach_one_row(per_customer, total)
-    return both.select(
+    shares = share_of_total(per_customer, "revenue", "grand", "customer_revenue_percentage")
+    return shares.select(
         "customer_id",
         "customer_name",
         F.round("revenue", 2).alias("customer_revenue"),
         F.round("grand", 2).alias("total_revenue"),
-        ratio(F.col("revenue"), F.col("grand"), 2, pct=True).alias("customer_revenue_percentage"),
+        "customer_revenue_percentage",
     ).orderBy(sort_key("customer_revenue_percentage", True))
 
 

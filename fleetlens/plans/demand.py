@@ -6,11 +6,11 @@ the unpartitioned windows that follow run over that bounded series only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions import month_label, period, quarter_label_of, ratio, season
-from fleetlens.operators import period_delta, present, sort_key, top_dense_rank
+from fleetlens.functions import month_label, period, quarter_label_of, season
+from fleetlens.operators import period_delta, present, share_of_total, sort_key, top_dense_rank
 from fleetlens.plans.registry import report
 from fleetlens.sources import Tables
 
@@ -98,13 +98,14 @@ def season_revenue_share(t: Tables) -> DataFrame:
     )
     # Every load falls in exactly one season (or Unknown), so the grand total
     # is the sum of the at most six season rows: no second scan of loads.
-    total = F.sum("seasonal").over(Window.partitionBy())
-    with_total = seasonal.withColumn("total", total)
-    out = with_total.select(
+    shares = share_of_total(
+        seasonal, "seasonal", "total", "seasonal_revenue_contribution", bounded=True
+    )
+    out = shares.select(
         "season",
         F.round("seasonal", 2).alias("seasonal_revenue"),
         F.round("total", 2).alias("total_revenue"),
-        ratio(F.col("seasonal"), F.col("total"), 2, pct=True).alias("seasonal_revenue_contribution"),
+        "seasonal_revenue_contribution",
     )
     return present(out, sort_key("seasonal_revenue_contribution", True), bounded=True)
 
