@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import COUNT, SMALL_AMOUNT, period, ratio
 from fleetlens.functions.exact import WIDE_FIXED, fixed_quotient
 from fleetlens.operators import (
-    attach_one_row,
     dense_rank,
     period_delta,
     present,
@@ -94,9 +93,11 @@ def route_mpg_below_median(t: Tables) -> DataFrame:
     routes = _route_mpg_sums(t).withColumn(
         "mpg_d", F.col("mpg_sum").cast("double") / F.nullif(F.col("mpg_n"), F.lit(0))
     )
-    # Interpolated median over one value per route (exact percentile, not approximate).
-    median = routes.agg(F.percentile(F.col("mpg_d"), F.lit(0.5)).alias("median_d"))
-    both = attach_one_row(routes, median)
+    # Interpolated median over one value per route (exact percentile, not
+    # approximate), taken as a window over those bounded rows so the route
+    # means are computed once.
+    median = F.percentile(F.col("mpg_d"), F.lit(0.5)).over(Window.partitionBy())
+    both = routes.withColumn("median_d", median)
     out = both.where(F.col("mpg_d") < F.col("median_d")).select(
         "route_id",
         _mean(4).alias("avg_mpg"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import in_period, period, ratio
 from fleetlens.operators import (
-    attach_one_row,
     comparison_label,
     consecutive_rise,
     holders_of_max,
@@ -137,10 +136,14 @@ def route_rising_fuel(t: Tables) -> DataFrame:
 @report("route_profit_vs_company", 15, "Route profit against the company average")
 def route_profit_vs_company(t: Tables) -> DataFrame:
     profit = route_profit(t)
-    average = profit.agg(
-        ratio(F.sum("net_profit"), F.count("net_profit"), 2).alias("company_average")
+    # One row per route: the company average is a window over those rows, so
+    # the per-route profit is computed once (a one-row aggregate joined back
+    # would plan it twice).
+    every_route = Window.partitionBy()
+    both = profit.withColumn(
+        "company_average",
+        ratio(F.sum("net_profit").over(every_route), F.count("net_profit").over(every_route), 2),
     )
-    both = attach_one_row(profit, average)
     diff = F.col("net_profit") - F.col("company_average")
     sign = F.when(diff > 0, 1).when(diff < 0, -1).when(diff == 0, 0)
     out = both.select(
