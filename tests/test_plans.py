@@ -101,3 +101,28 @@ def test_same_answer_for_any_partitioning(spark, fixture_tables, key):
         for k, v in old.items():
             spark.conf.set(k, v)
         spark.conf.unset(MAX_GROUP_ROWS_CONF)
+
+
+@pytest.fixture(scope="module")
+def date_partitioned_tables(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="fleetlens-bydate-"), "t")
+    write_tables(spark_tables(spark), path, partition_by_date=True)
+    return read_tables(spark, path)
+
+
+@pytest.mark.parametrize(
+    "key,column",
+    [("truck_zero_downtime_quarter", "maintenance_date"),
+     ("truck_top5_downtime_6m", "maintenance_date"),
+     ("customer_top_year", "load_date"),
+     ("driver_best_mpg_latest_month", "dispatch_date")],
+)
+def test_date_partitioned_storage_prunes_folders(spark, date_partitioned_tables, stored_tables, key, column):
+    df = R[key].build(date_partitioned_tables)
+    text = plan_text(df)
+    part = [ln for ln in text.splitlines() if "PartitionFilters" in ln and column in ln]
+    assert any("subquery" in ln.lower() for ln in part), text
+    same = decimals_to_double(R[key].build(stored_tables))
+    assert sorted(map(tuple, decimals_to_double(df).collect()), key=repr) == sorted(
+        map(tuple, same.collect()), key=repr
+    )
