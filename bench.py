@@ -29,7 +29,7 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, HERE)
 
 from fleetlens.plans.registry import load_all  # noqa: E402
-from fleetlens.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from fleetlens.session import build_session, ensure_checkpoint_dir, release_stages  # noqa: E402
 from fleetlens.sources import load_fixture_tables, read_tables, write_tables  # noqa: E402
 
 
@@ -130,6 +130,7 @@ def main() -> None:
     per_query = {k: round(statistics.median(v), 4) for k, v in samples.items()}
     total = round(sum(per_query.values()), 4)
     version = spark.version
+    release_stages(spark)
     spark.stop()  # flushes the event log
     profile = _event_log_metrics(event_dir, runs + 1)
     print(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -68,6 +69,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _stage_root(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-stages/{app}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -75,8 +81,41 @@ def materialize(df: DataFrame) -> DataFrame:
     twice). Values that depend on how rows were partitioned, such as
     ``monotonically_increasing_id``, are fixed once written, and a lost
     executor re-reads the files instead of recomputing them differently.
+    Stage folders live under one folder per application; ``release_stages``
+    removes them (also attempted when the Python process exits).
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    root = _stage_root(spark)
+    if root not in _STAGE_ROOTS:
+        _STAGE_ROOTS[root] = spark
+        if len(_STAGE_ROOTS) == 1:
+            atexit.register(_release_all)
+    path = f"{root}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGE_ROOTS: dict[str, SparkSession] = {}
+
+
+def release_stages(spark: SparkSession) -> None:
+    """Delete this application's materialized stages (call when its reports are done).
+
+    Uses the Hadoop FileSystem of the checkpoint folder, so it works the same
+    on a local disk, HDFS or an object store.
+    """
+    root = _stage_root(spark)
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(root)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hpath):
+        fs.delete(hpath, True)
+    _STAGE_ROOTS.pop(root, None)
+
+
+def _release_all() -> None:
+    for spark in list(_STAGE_ROOTS.values()):
+        try:
+            release_stages(spark)
+        except Exception:  # best effort at exit: the session may already be gone
+            pass
