@@ -11,7 +11,8 @@ read back to add, per report and per execution, the shuffle bytes written
 and the largest peak execution memory of any task.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (8),
-BENCH_RUNS (3), BENCH_REPORTS (comma-separated keys, default all).
+BENCH_RUNS (3), BENCH_REPORTS (comma-separated keys, default all),
+BENCH_SHUFFLE_PARTITIONS (default 2 x BENCH_CPUS; AQE coalesces below it).
 """
 
 from __future__ import annotations
@@ -87,11 +88,12 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     wanted = [k for k in os.environ.get("BENCH_REPORTS", "").split(",") if k]
+    shuffle_partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
 
     event_dir = tempfile.mkdtemp(prefix="fleetlens-events-")
     spark = build_session(
         master=f"local[{cpus}]",
-        shuffle_partitions=2 * cpus,
+        shuffle_partitions=shuffle_partitions,
         app_name="fleetlens-bench",
         extra={
             "spark.driver.memory": "16g",
