@@ -30,6 +30,15 @@ class Tables:
     def as_dict(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
+    def register_views(self) -> None:
+        """Expose the tables as session temp views under their logical names.
+
+        Lets users also query them with ``spark.sql`` under the table names
+        the reports use (``trips``, ``loads``, ...).
+        """
+        for name, df in self.as_dict().items():
+            df.createOrReplaceTempView(name)
+
 
 def load_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Logical tables derived on the fly from a fixture folder (TPC-H-like parquet)."""

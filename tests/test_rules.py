@@ -113,3 +113,9 @@ def test_missing_load_still_counts_for_the_truck(t):
     got = dict(rows(R["truck_revenue"].build(t)))
     # truck 2: trip 12 (load 1: 1000.00) and trip 61 (load 99 missing -> null)
     assert got[2] == D("1000.00")
+
+
+def test_register_views_exposes_logical_tables(spark, t):
+    t.register_views()
+    assert spark.sql("SELECT COUNT(*) FROM trips").first()[0] == t.trips.count()
+    assert spark.sql("SELECT SUM(revenue) FROM loads").first()[0] == t.loads.agg(F.sum("revenue")).first()[0]
