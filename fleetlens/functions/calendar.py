@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 _UNITS = {"month": ("MM", 1), "quarter": ("QUARTER", 3), "year": ("YEAR", 12)}
 
-# Season of a month number (as the demand reports define it).
+# Text labels and seasons as the reports define them.
+# Month label: abbreviated English month, hyphen, four-digit year (e.g. Mar-2024).
+MONTH_LABEL_FORMAT = "MMM-yyyy"
+# Quarter label: "Q", quarter number, hyphen, year (e.g. Q1-2024); null parts are left out.
+QUARTER_LABEL_PREFIX = "Q"
+QUARTER_LABEL_SEPARATOR = "-"
+# Season of a month number.
 SEASONS = (
     ("Winter", (12, 1, 2)),
     ("Spring", (3, 4)),
@@ -44,7 +50,7 @@ def in_period(col: Column | str, start: Column, unit: str) -> Column:
 
 def month_label(col: Column | str) -> Column:
     """Text label such as ``Mar-2024`` (null for a null date)."""
-    return F.date_format(_c(col), "MMM-yyyy")
+    return F.date_format(_c(col), MONTH_LABEL_FORMAT)
 
 
 def quarter_label(col: Column | str) -> Column:
@@ -56,9 +62,9 @@ def quarter_label(col: Column | str) -> Column:
 def quarter_label_of(year: Column, quarter: Column) -> Column:
     """``Q<quarter>-<year>`` from year and quarter numbers, skipping null parts."""
     return F.concat(
-        F.lit("Q"),
+        F.lit(QUARTER_LABEL_PREFIX),
         F.coalesce(quarter.cast("string"), F.lit("")),
-        F.lit("-"),
+        F.lit(QUARTER_LABEL_SEPARATOR),
         F.coalesce(year.cast("string"), F.lit("")),
     )
 
