@@ -20,11 +20,26 @@ from fleetlens.sources import Tables
 
 
 def _route_mpg_sums(t: Tables, by_month: bool = False) -> DataFrame:
-    """Sum and count of trip mpg per route (and dispatch month)."""
-    cols = ["average_mpg"] + (["dispatch_date"] if by_month else [])
-    joined = trips_with_loads(t, *cols, load_cols=("route_id",))
-    keys = ["route_id"] + ([period("dispatch_date", "month").alias("month")] if by_month else [])
-    return joined.groupBy(*keys).agg(
+    """Sum and count of trip mpg per route (and dispatch month).
+
+    For the all-time figure the trips are first summed per load, the key of
+    the join to loads, so the join sees one row per load and reuses the
+    aggregate's partitioning; sums and counts add up exactly. Per dispatch
+    month that pre-aggregate would be keyed by (load, month), so the trips
+    are joined first and aggregated once.
+    """
+    if not by_month:
+        per_load = (
+            t.trips.where(F.col("load_id").isNotNull())
+            .groupBy("load_id")
+            .agg(F.sum("average_mpg").alias("s"), F.count("average_mpg").alias("n"))
+        )
+        joined = per_load.join(t.loads.select("load_id", "route_id"), "load_id")
+        return joined.groupBy("route_id").agg(
+            F.sum("s").alias("mpg_sum"), F.sum("n").alias("mpg_n")
+        )
+    joined = trips_with_loads(t, "average_mpg", "dispatch_date", load_cols=("route_id",))
+    return joined.groupBy("route_id", period("dispatch_date", "month").alias("month")).agg(
         F.sum("average_mpg").alias("mpg_sum"), F.count("average_mpg").alias("mpg_n")
     )
 
