@@ -126,3 +126,25 @@ def test_date_partitioned_storage_prunes_folders(spark, date_partitioned_tables,
     assert sorted(map(tuple, decimals_to_double(df).collect()), key=repr) == sorted(
         map(tuple, same.collect()), key=repr
     )
+
+
+def test_bucketed_trip_tables_join_without_shuffle(spark):
+    from fleetlens.sources import read_catalog_tables, save_bucketed_tables
+
+    location = tempfile.mkdtemp(prefix="fleetlens-bucketed-")
+    save_bucketed_tables(spark_tables(spark), "fleet_bucketed", 4, location)
+    bucketed = read_catalog_tables(spark, "fleet_bucketed")
+    plain = spark_tables(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key in ("route_fuel_cost", "driver_on_time"):
+            df = R[key].build(bucketed)
+            text = df._jdf.queryExecution().executedPlan().toString()
+            # fuel/events summed per trip and joined to trips: no shuffle on trip_id
+            assert "hashpartitioning(trip_id" not in text, text
+            assert sorted(map(tuple, decimals_to_double(df).collect()), key=repr) == sorted(
+                map(tuple, decimals_to_double(R[key].build(plain)).collect()), key=repr
+            )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
