@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,6 +17,12 @@ SF0001 = "/root/testdata/sf0.001"
 def spark():
     from fleetlens.session import build_session
 
-    session = build_session("local[4]", shuffle_partitions=4, app_name="fleetlens-tests")
+    warehouse = tempfile.mkdtemp(prefix="fleetlens-warehouse-")
+    session = build_session(
+        "local[4]",
+        shuffle_partitions=4,
+        app_name="fleetlens-tests",
+        extra={"spark.sql.warehouse.dir": warehouse},
+    )
     yield session
     session.stop()
