@@ -30,7 +30,8 @@ def fixture_tables(spark):
 @pytest.fixture(scope="module")
 def stored_tables(spark):
     path = tempfile.mkdtemp(prefix="fleetlens-stored-")
-    write_tables(spark_tables(spark), os.path.join(path, "t"))
+    # Several files per table, dated facts range-clustered by date.
+    write_tables(spark_tables(spark), os.path.join(path, "t"), files=3)
     return read_tables(spark, os.path.join(path, "t"))
 
 
