@@ -14,11 +14,11 @@ Layout
 """
 
 from fleetlens.sources import Tables, load_fixture_tables, read_tables, write_tables
-from fleetlens.plans.registry import REPORTS, run_report
+from fleetlens.plans.registry import load_all, run_report
 
 __all__ = [
-    "REPORTS",
     "Tables",
+    "load_all",
     "load_fixture_tables",
     "read_tables",
     "run_report",
