@@ -3,8 +3,9 @@
 The reports round money, miles and mpg with decimal semantics (half away from
 zero). Spark's ``avg`` on a decimal stops at scale + 4 and ``/`` picks a result
 scale from the operand precisions, so a naive expression can round twice. The
-helpers below cast operands to widths that leave the quotient at least ten
-digits beyond the requested scale before the single final ``round``.
+helpers below cast operands to widths that leave the quotient at least seven
+digits beyond the requested scale (10 to 21 for the 2- and 4-digit results)
+before the single final ``round``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 # Operand types. Twenty integer digits hold any sum of money or miles at
-# cluster scale (1e18); the quotient then keeps 12 to 18 fractional digits.
+# cluster scale (1e18); the quotient then keeps 10 to 24 fractional digits.
 AMOUNT = DecimalType(22, 2)
 COUNT = DecimalType(20, 0)
 SMALL_AMOUNT = DecimalType(16, 2)  # sums of mpg: leaves 23 fractional digits
