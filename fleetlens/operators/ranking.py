@@ -166,12 +166,24 @@ def dense_rank(
     descending: bool = True,
     *,
     strategy: str = "window",
+    bound: DataFrame | None = None,
 ) -> DataFrame:
+    """Dense rank by one of the strategies in the module docstring.
+
+    For ``auto``, ``bound`` may name a table whose row count is a proven upper
+    bound on any rank group (e.g. every group holds distinct drivers, and
+    each driver comes from a trip row, so no group exceeds the trips). When
+    that cheap count is within the per-task limit the plain window is used
+    directly; otherwise the input is stored and its largest group counted.
+    """
     if strategy == "auto":
-        # The input is read more than once (size check, then the rank): store it once.
-        df = materialize(df)
-        fits = largest_group(df, partition_by) <= max_group_rows(df)
-        strategy = "window" if fits else "distributed"
+        limit = max_group_rows(df)
+        if bound is not None and bound.count() <= limit:
+            strategy = "window"
+        else:
+            # The input is read more than once (size check, then the rank): store it once.
+            df = materialize(df)
+            strategy = "window" if largest_group(df, partition_by) <= limit else "distributed"
     if strategy == "window":
         return dense_rank_window(df, order_col, rank_name, partition_by, descending)
     if strategy == "distributed":
@@ -179,17 +191,28 @@ def dense_rank(
     raise ValueError(f"unknown ranking strategy {strategy!r}")
 
 
-def first_ntile(df: DataFrame, order: Sequence[Column], buckets: int, bucket_name: str) -> DataFrame:
+def first_ntile(
+    df: DataFrame,
+    order: Sequence[Column],
+    buckets: int,
+    bucket_name: str,
+    *,
+    bound: DataFrame | None = None,
+) -> DataFrame:
     """Rows of the first of ``buckets`` n-tiles under a total ``order``, with the bucket number.
 
     An n-tile over n rows gives the first ``n % buckets`` tiles one extra row,
     so tile 1 holds ``ceil(n / buckets)`` rows (all rows when n < buckets would
     each be their own tile: tile 1 is then the first row). Beyond the
     per-task row limit the rows are numbered by a distributed sort instead
-    of an unpartitioned window.
+    of an unpartitioned window. ``bound`` works as in ``dense_rank``.
     """
-    df = materialize(df)
-    if largest_group(df, []) <= max_group_rows(df):
+    limit = max_group_rows(df)
+    small = bound is not None and bound.count() <= limit
+    if not small:
+        df = materialize(df)
+        small = largest_group(df, []) <= limit
+    if small:
         # Small enough for one task: the plain n-tile window.
         tile = F.ntile(buckets).over(Window.orderBy(*order))
         return df.withColumn(bucket_name, tile.cast("bigint")).where(F.col(bucket_name) == 1)

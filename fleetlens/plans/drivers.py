@@ -90,7 +90,8 @@ def driver_monthly_on_time_rank(t: Tables) -> DataFrame:
     # a size-checked rank that switches to a distributed sort when a month
     # would not fit one task.
     ranked = dense_rank(
-        monthly, "on_time_delivery_rate", "monthly_rank", ["month"], strategy="auto"
+        monthly, "on_time_delivery_rate", "monthly_rank", ["month"],
+        strategy="auto", bound=t.trips,  # a month's drivers each come from a trip row
     )
     return ranked.orderBy(F.col("month").asc_nulls_last(), "monthly_rank")
 
@@ -109,7 +110,7 @@ def driver_top_decile(t: Tables) -> DataFrame:
     )
     # Ties on the measure are broken by driver id so the cut is deterministic.
     order = [sort_key("revenue_per_mile", True), F.col("driver_id").asc_nulls_last()]
-    top = first_ntile(drivers, order, 10, "revenue_bucket")
+    top = first_ntile(drivers, order, 10, "revenue_bucket", bound=t.trips)
     return top.orderBy(*order)
 
 

@@ -67,7 +67,8 @@ def truck_revenue_rank_monthly(t: Tables) -> DataFrame:
     # Every truck active in a month is in that month's rank group: a
     # size-checked rank (distributed sort beyond the per-task limit).
     ranked = dense_rank(
-        monthly, "monthly_revenue", "monthly_revenue_rank", ["month"], strategy="auto"
+        monthly, "monthly_revenue", "monthly_revenue_rank", ["month"],
+        strategy="auto", bound=t.trips,  # a month's trucks each come from a trip row
     )
     return ranked.orderBy(F.col("month").asc_nulls_last(), "monthly_revenue_rank")
 

@@ -66,7 +66,8 @@ def driver_incident_rank(t: Tables) -> DataFrame:
     # Every driver is in one rank group: a size-checked rank (distributed
     # sort beyond the per-task limit).
     ranked = dense_rank(
-        _driver_incidents(t), "total_incidents", "incident_frequency_rank", strategy="auto"
+        _driver_incidents(t), "total_incidents", "incident_frequency_rank",
+        strategy="auto", bound=t.safety_incidents,  # each driver has an incident row
     )
     return ranked.orderBy(F.col("total_incidents").desc())
 

@@ -93,3 +93,14 @@ def test_trailing_mean_skips_nulls_and_counts_present_rows(spark):
     out = trailing_mean(df, ["k"], "t", "m", "avg3", 3, 2)
     got = {r.t: r.avg3 for r in out.collect()}
     assert got == {1: D("3.00"), 2: D("3.00"), 4: D("4.50"), 9: D("3.50")}
+
+
+@pytest.mark.parametrize("limit", ["0", "1000000"])
+def test_auto_rank_with_bound_equals_window(spark, values, limit):
+    spark.conf.set(MAX_GROUP_ROWS_CONF, limit)
+    try:
+        want = dense_rank_window(values, "v", "rk", ["grp"])
+        got = dense_rank(values, "v", "rk", ["grp"], strategy="auto", bound=values)
+        assert _sorted(got, ["id", "rk"]) == _sorted(want, ["id", "rk"])
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS_CONF)
