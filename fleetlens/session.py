@@ -52,7 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder; a cluster session without one is an error, because a
     machine-local folder would not survive the loss of that machine.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the client has no SparkContext
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -70,10 +76,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _stage_root(spark: SparkSession) -> str:
-    app = spark.sparkContext.applicationId
+    app = spark.conf.get("spark.app.id", None) or _PROCESS_ID
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-stages/{app}"
 
 
+_PROCESS_ID = f"pid-{os.getpid()}-{uuid.uuid4().hex[:8]}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -102,10 +111,16 @@ def release_stages(spark: SparkSession) -> None:
     """Delete this application's materialized stages (call when its reports are done).
 
     Uses the Hadoop FileSystem of the checkpoint folder, so it works the same
-    on a local disk, HDFS or an object store.
+    on a local disk, HDFS or an object store. Under Spark Connect the client
+    cannot reach that API; the folder is then left to the cluster's own
+    cleanup of its checkpoint location.
     """
     root = _stage_root(spark)
-    jvm = spark.sparkContext._jvm
+    try:
+        jvm = spark.sparkContext._jvm
+    except Exception:  # Spark Connect
+        _STAGE_ROOTS.pop(root, None)
+        return
     hpath = jvm.org.apache.hadoop.fs.Path(root)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(hpath):
