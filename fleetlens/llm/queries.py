@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe_codec, radix_dedup, token_counts
+from fleetlens.llm import arc_to_warc, bpe_codec, curriculum, html_layout, quality, radix_dedup, secret_scan, simhash, token_counts, url_rules
+from fleetlens.llm.scratch import stored
 from fleetlens.llm.ship import ship_code
 
 
@@ -57,9 +58,171 @@ def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_to_warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+URL_RULES = (
+    url_rules.Rule("allow", "org", "/"),
+    url_rules.Rule("block", "example.org", "/es/"),
+    url_rules.Rule("block", "example.org", "/en/1"),
+    url_rules.Rule("allow", "com", "/fr/"),
+    url_rules.Rule("block", "com", "/de/"),
+)
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP5_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+  END AS rule FROM u)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(_table(spark, sf_dir, "documents"))
+    measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select(
+        "doc_id", *measured, (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.CURRENT).alias("kept"), "n_lines", "failed"
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secret_scan.written(F.filter("spans", lambda s: s["base"]))
+    return found.select(
+        "doc_id", *[count(kind) for kind, *_ in secret_scan.BASE], F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans")
+    )
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+windows AS (
+  SELECT rid, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS g
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS p FROM w)),
+again AS (
+  SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS n FROM windows) WHERE n > 1),
+repeated AS (
+  SELECT rid, count(DISTINCT p + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+m AS (
+  SELECT doc_id, len(words) AS n_words,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines
+  FROM w LEFT JOIN repeated r USING (rid)),
+f AS (
+  SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
+    + 4 * (word_chars < 2 * n_words)::BIGINT + 8 * (word_chars > 25 * n_words)::BIGINT
+    + 16 * (n_symbols > n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines AND n_lines >= 4)::BIGINT AS failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed,
+  failed & 3 <> 0 AS base_failed, failed = 0 AS kept
+FROM f
+"""
+
+
+def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = curriculum.assign(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, p: acc + p["words"])
+    rows = placed.select(
+        "row.doc_id", "size", "source_size", "target", taken.alias("taken"), F.get("passes", F.lit(0))["position"].alias("position"), "key"
+    )
+    return stored(rows, "curriculum").orderBy(F.col("position").asc_nulls_last(), "key").drop("key")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS s,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key
+  FROM documents),
+per AS (SELECT s, sum(size)::BIGINT AS source_size FROM d GROUP BY s),
+w AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY s) - 1) % 3 + 1 AS weight FROM per),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER lower, 0))::DOUBLE
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER lower, 0))::DOUBLE AS level
+  FROM w WINDOW lower AS (ORDER BY cap / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, (weight - 2) * 0.5::DOUBLE AS ramp, least(cap::DOUBLE, weight * greatest(max(level) OVER (), 0)) AS target FROM l),
+p AS (SELECT *, sum(target) OVER () AS total, sum(ramp * target) OVER () AS bent FROM t),
+o AS (
+  SELECT d.doc_id, d.size, p.*, coalesce(sum(d.size) OVER (
+    PARTITION BY d.s ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN p USING (s)),
+k AS (
+  SELECT *, list_transform([0, 1, 2], lambda j: least(greatest(floor(target)::BIGINT - (j * source_size + start), 0), size)) AS words,
+    start / target AS share
+  FROM o),
+x AS (SELECT *, 2 * share / ((1 - ramp) + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * share)) AS moment FROM k)
+SELECT doc_id, size, source_size, target, list_sum(words)::BIGINT AS taken,
+  CASE WHEN words[1] > 0 THEN total * moment + bent * (moment * moment - moment) END AS position
+FROM x
+"""
+
+
+def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_layout.extract(_table(spark, sf_dir, "pages"))
+    return text.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_radix_dedup, op3_prefix_token_counts)}
+    named = (
+        op1_bpe_codec,
+        op2_radix_dedup,
+        op3_prefix_token_counts,
+        op4_arc_to_warc,
+        op5_url_rules,
+        op6_simhash_near_dedup,
+        op7_secret_scan,
+        op8_quality_ledger,
+        op9_curriculum_mix,
+        op10_html_layout,
+    )
+    return {f.__name__: f for f in named}
+
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_radix_dedup": OP2_SQL}
+    """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
+    return {
+        "op2_radix_dedup": OP2_SQL,
+        "op4_arc_to_warc": OP4_SQL,
+        "op5_url_rules": OP5_SQL,
+        "op8_quality_ledger": OP8_SQL,
+        "op9_curriculum_mix": OP9_SQL,
+    }

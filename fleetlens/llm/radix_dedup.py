@@ -48,25 +48,20 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     kept. Null texts count as empty, and all empty texts are one class. Texts
     of any length are compared whole. An empty table gives no rows.
     """
-    rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        docs[id_col].alias("id"),
-        docs[text_col].cast("string").alias("text"),
-    )
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"))
+    text = F.col(f"row.`{text_col}`")
     # Level 0: the first digit of every row, without its text. The characters
     # taken hold at least the digit's bytes.
-    head = F.substring(_bytes(normalised(F.substring("text", 1, FIRST_DIGIT))), 1, FIRST_DIGIT)
+    head = F.substring(_bytes(normalised(F.substring(text.cast("string"), 1, FIRST_DIGIT))), 1, FIRST_DIGIT)
     shared = rows.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("head")
+    # Stored counts are joined anew, so that the join may split a hot digit.
+    shared = stored(shared, "radix")
     tagged = rows.withColumn("first", head)
     alone = tagged.join(shared, F.col("first") == F.col("head"), "left_anti").select(
         "row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
     level = tagged.join(shared, F.col("first") == F.col("head")).select(
-        "row",
-        "id",
-        F.lit(-1).cast("long").alias("group"),
-        _bytes(normalised(F.col("text"))).alias("rest"),
-        F.monotonically_increasing_id().alias("tag"),
+        "row", "id", F.lit(-1).cast("long").alias("group"), _bytes(normalised(text)).alias("rest"), F.monotonically_increasing_id().alias("tag")
     )
     done, width, end = [alone], FIRST_DIGIT * GROWTH, FIRST_DIGIT * GROWTH
     level = stored(level, "radix")
@@ -82,12 +77,13 @@ def _divided(level: DataFrame, width: int) -> DataFrame:
     """Each row with the group of its next digit, and whether that group is done."""
     digit = F.substring(F.col("rest"), 1, width)
     parts = level.groupBy(F.col("group").alias("_group"), digit.alias("_digit")).agg(
-        F.count(F.lit(1)).alias("group_size"),
+        F.count(F.lit(1)).alias("_size"),
         F.max(F.struct("id", "tag")).alias("_best"),
         F.max("tag").alias("_next"),
     )
-    joined = level.join(parts, (F.col("group") == F.col("_group")) & (digit == F.col("_digit")))
-    ended = (F.col("group_size") == 1) | (F.octet_length("_digit") < width)
+    parts = stored(parts.where("_size > 1"), "radix")
+    joined = level.join(parts, (F.col("group") == F.col("_group")) & (digit == F.col("_digit")), "left")
+    ended = F.coalesce(F.octet_length("_digit") < width, F.lit(True))
     return joined.select(
         "row",
         "id",
@@ -95,9 +91,9 @@ def _divided(level: DataFrame, width: int) -> DataFrame:
         F.when(~ended, F.substring(F.col("rest"), width + 1, 2**31 - 1)).alias("rest"),
         "tag",
         ended.alias("ended"),
-        F.col("_best.id").alias("keep_id"),
-        "group_size",
-        (F.col("tag") == F.col("_best.tag")).alias("kept"),
+        F.when(F.col("_size").isNull(), F.col("id")).otherwise(F.col("_best.id")).alias("keep_id"),
+        F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("tag") == F.col("_best.tag"), F.lit(True)).alias("kept"),
     )
 
 
