@@ -1,0 +1,67 @@
+"""Quality measures, policies and ablations against plain Python."""
+
+from collections import Counter
+
+from llm_cases import documents, ordered, table, words_of
+
+from fleetlens.llm import quality
+
+
+def slow_measures(text):
+    text = text or ""
+    words = words_of(text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if words_of(x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines))
+
+
+def slow_bits(m):
+    n, chars, symbols, dup, repeat, lines = m
+    fails = (n < 50, 100 * repeat > 50 * n, chars < 2 * n, chars > 25 * n, symbols > n, 2 * dup > lines and lines >= 4)
+    return sum(1 << k for k, f in enumerate(fails) if f)
+
+
+TEXTS = ["line one here\n" * 9, "a b c d a b c x a b c", "### $$$ %%% " * 30, "one two three four\n\nfive six\n \nfive six", "w " * 49, "w " * 50, "ab cd ef gh " * 12]
+
+
+def test_ledger_of_messy_rows(spark):
+    docs, rows = documents(spark)
+    docs2, rows2 = documents(spark, TEXTS)
+    for d, r in ((docs, rows), (docs2, rows2)):
+        got = quality.ledger(d)
+        want = [(x[0], *(m := slow_measures(x[1])), slow_bits(m)) for x in r]
+        assert table(got, "doc_id", *quality.MEASURES, "failed") == ordered(want)
+
+
+def test_keep_returns_the_columns_and_rows_that_pass(spark):
+    docs, rows = documents(spark)
+    got = quality.keep(docs)
+    assert got.schema == docs.schema
+    want = [(r[0], r[1]) for r in rows if slow_bits(slow_measures(r[1])) & quality.CURRENT.mask == 0]
+    assert table(got, "doc_id", "text") == ordered(want) and want
+
+
+def test_ablations_count_from_bits_alone(spark):
+    docs, rows = documents(spark)
+    bits = [slow_bits(slow_measures(r[1])) for r in rows]
+    got = {(r.version, r.rule): r for r in quality.ablations(quality.ledger(docs)).collect()}
+    for p in quality.POLICIES:
+        for rule in p.rules:
+            one = quality.Policy("", (rule,)).mask
+            r = got[p.version, rule]
+            assert r.rejected == sum(b & one != 0 for b in bits)
+            assert r.only_here == sum(b & p.mask == one for b in bits)
+            assert r.kept == sum(b & p.mask == 0 for b in bits)
+            assert r.kept_without == sum(b & (p.mask & ~one) == 0 for b in bits)
+
+
+def test_policies_are_versioned_and_base_is_in_each():
+    assert len({p.version for p in quality.POLICIES}) == len(quality.POLICIES)
+    assert all(p.mask & quality.BASE.mask == quality.BASE.mask for p in quality.POLICIES)
+
+
+def test_empty_table(spark):
+    docs = documents(spark, [])[0]
+    assert quality.ledger(docs).count() == 0 and quality.keep(docs).columns == docs.columns
