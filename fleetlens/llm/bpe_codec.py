@@ -21,11 +21,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe_lexicon import Lexicon, compile_lexicon, mapped
 from fleetlens.llm.bpe_model import CHUNK, BpeModel, broadcast_model, model_of, space_pieces
+from fleetlens.llm.scratch import stored
 
 #: Longer words are not put in the lexicon; they merge when they occur.
 MAX_WORD_BYTES = 32
@@ -64,9 +65,16 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, limit: int, text_col: str = "text") -> list[str]:
-    """The `limit` most frequent words, ties in code point order."""
-    top = word_counts(docs, text_col).orderBy(F.col("n").desc(), "word").limit(limit)
-    return [r.word for r in top.select("word").collect()]
+    """The most frequent words that repeat: all at or above the least frequency that at most `limit` reach.
+
+    The frequency is found from the number of words at each frequency, so no
+    task sorts words and the driver gets `limit` of them at most.
+    """
+    counted = stored(word_counts(docs, text_col).where("n > 1"), "words")
+    at_each = counted.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    reaching = at_each.select("n", F.sum("c").over(Window.orderBy(F.col("n").desc())).alias("above"))
+    least = reaching.where(F.col("above") <= limit).agg(F.min("n")).first()[0]
+    return [] if least is None else [r.word for r in counted.where(F.col("n") >= least).select("word").collect()]
 
 
 def lexicon_of(words: Iterable[str], model: BpeModel) -> bytes:

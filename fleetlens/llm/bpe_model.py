@@ -124,16 +124,16 @@ class BpeModel:
         pair of every row that still has one.
         """
         out = [b""] * len(words)
-        by_length = sorted(range(len(words)), key=lambda k: len(words[k]))
+        by_length = sorted((k for k in range(len(words)) if words[k]), key=lambda k: len(words[k]))
         while by_length:
             width = len(words[by_length[-1]])
             low = bisect.bisect_left(by_length, width // 2 + 1, key=lambda k: len(words[k]))
-            low = max(low, len(by_length) - max(1, MATRIX_CELLS // max(width, 1)))
+            low = max(low, len(by_length) - max(1, MATRIX_CELLS // width))
             rows, by_length = by_length[low:], by_length[:low]
             if width > LONG_WORD:
                 for k in rows:
                     out[k] = np.array(self.merge(words[k]), dtype="<u4").tobytes()
-            elif width:
+            else:
                 self._merge_rows(words, rows, width, out)
         return out
 
