@@ -30,7 +30,7 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, HERE)
 
 from fleetlens.plans.registry import load_all  # noqa: E402
-from fleetlens.session import build_session, ensure_checkpoint_dir, release_stages  # noqa: E402
+from fleetlens.session import build_session  # noqa: E402
 from fleetlens.sources import load_fixture_tables, read_tables, write_tables  # noqa: E402
 
 
@@ -101,9 +101,7 @@ def main() -> None:
             "spark.eventLog.dir": f"file://{event_dir}",
         },
     )
-    ckpt = ensure_checkpoint_dir(spark)
-    scratch = ckpt if not ckpt.startswith("file:") else ckpt[len("file:"):]
-    store = tempfile.mkdtemp(prefix="tables-", dir=scratch) if os.path.isdir(scratch) else f"{ckpt}/tables"
+    store = os.path.join(tempfile.mkdtemp(prefix="fleetlens-tables-"), "tables")
 
     t0 = time.perf_counter()
     write_tables(load_fixture_tables(spark, sf_dir), store)
@@ -132,7 +130,6 @@ def main() -> None:
     per_query = {k: round(statistics.median(v), 4) for k, v in samples.items()}
     total = round(sum(per_query.values()), 4)
     version = spark.version
-    release_stages(spark)
     spark.stop()  # flushes the event log
     profile = _event_log_metrics(event_dir, runs + 1)
     print(

@@ -10,8 +10,8 @@ Layout
                period change, ranking, trailing means, benchmarks, shares,
                horizons).
 ``plans``      the 59 named reports, grouped by subject, and the registry.
-``streaming``  intentionally empty: the reports are batch statements with no
-               streaming semantics (see its docstring and the README).
+``llm``        training-data operators over documents and pages (optional:
+               nothing else imports it).
 """
 
 from fleetlens.sources import Tables, load_fixture_tables, read_tables, write_tables

@@ -5,7 +5,6 @@ from fleetlens.functions.calendar import (
     month_label,
     period,
     period_end,
-    quarter_label,
     quarter_label_of,
     season,
 )
@@ -16,7 +15,6 @@ from fleetlens.functions.exact import (
     SMALL_AMOUNT,
     compare_to_mean,
     diff_from_mean,
-    fixed_mean,
     mean,
     ratio,
 )
@@ -28,13 +26,11 @@ __all__ = [
     "SMALL_AMOUNT",
     "compare_to_mean",
     "diff_from_mean",
-    "fixed_mean",
     "in_period",
     "mean",
     "month_label",
     "period",
     "period_end",
-    "quarter_label",
     "quarter_label_of",
     "ratio",
     "season",

@@ -53,12 +53,6 @@ def month_label(col: Column | str) -> Column:
     return F.date_format(_c(col), MONTH_LABEL_FORMAT)
 
 
-def quarter_label(col: Column | str) -> Column:
-    """``Q<quarter>-<year>``; a null date gives ``Q-`` (null parts are skipped)."""
-    c = _c(col)
-    return quarter_label_of(F.year(c), F.quarter(c))
-
-
 def quarter_label_of(year: Column, quarter: Column) -> Column:
     """``Q<quarter>-<year>`` from year and quarter numbers, skipping null parts."""
     return F.concat(

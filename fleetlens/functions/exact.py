@@ -50,18 +50,12 @@ def mean(col: Column | str, scale: int, *, num_type: DecimalType = AMOUNT) -> Co
     return ratio(F.sum(c), F.count(c), scale, num_type=num_type, den_type=COUNT)
 
 
-def fixed_mean(col: Column | str, *, num_type: DecimalType = SMALL_AMOUNT) -> Column:
-    """Aggregate: average as a 16-digit fixed-point decimal(28,16).
+def fixed_quotient(total: Column, count: Column, *, num_type: DecimalType = SMALL_AMOUNT) -> Column:
+    """``total / count`` as a 16-digit fixed-point decimal(28,16).
 
     Used where a mean feeds another mean or a difference before its final
     rounding, so both engines start the second step from the same value.
     """
-    c = F.col(col) if isinstance(col, str) else col
-    return ratio(F.sum(c), F.count(c), 16, num_type=num_type, den_type=COUNT).cast(FIXED)
-
-
-def fixed_quotient(total: Column, count: Column, *, num_type: DecimalType = SMALL_AMOUNT) -> Column:
-    """``total / count`` as a 16-digit fixed-point decimal(28,16) (row-level form of ``fixed_mean``)."""
     return ratio(total, count, 16, num_type=num_type, den_type=COUNT).cast(FIXED)
 
 

@@ -17,9 +17,8 @@ from fleetlens.operators.horizon import (
 )
 from fleetlens.operators.ranking import (
     dense_rank,
-    dense_rank_distributed,
-    dense_rank_window,
     first_ntile,
+    median,
     sort_key,
     top_dense_rank,
 )
@@ -31,8 +30,6 @@ __all__ = [
     "comparison_label",
     "consecutive_rise",
     "dense_rank",
-    "dense_rank_distributed",
-    "dense_rank_window",
     "first_ntile",
     "global_totals",
     "holders_of_max",
@@ -40,6 +37,7 @@ __all__ = [
     "inactive_members",
     "latest_period_start",
     "latest_value",
+    "median",
     "period_delta",
     "present",
     "share_of_total",

@@ -8,7 +8,7 @@ groups; the facts are filtered before any join or aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.calendar import in_period, period
@@ -36,17 +36,8 @@ def since_months_before_latest(df: DataFrame, date_col: str, months: int) -> Dat
     return df.where(F.col(date_col) >= start)
 
 
-def holders_of_max(df: DataFrame, measure: str, *, bounded: bool = False) -> DataFrame:
-    """All rows whose ``measure`` equals the maximum (ties kept; none if all null).
-
-    ``bounded=True`` is for an input already reduced to a small, bounded set
-    (one row per route, month, ...): the maximum is then an unpartitioned
-    window over those rows, so the input is computed once. Otherwise the
-    maximum is a scalar subquery (a partial + final aggregate).
-    """
-    if bounded:
-        top = F.max(measure).over(Window.partitionBy())
-        return df.withColumn("_max", top).where(F.col(measure) == F.col("_max")).drop("_max")
+def holders_of_max(df: DataFrame, measure: str) -> DataFrame:
+    """All rows whose ``measure`` equals the maximum, a scalar subquery (ties kept; none if all null)."""
     return df.where(F.col(measure) == latest_value(df, measure))
 
 

@@ -3,11 +3,11 @@
 Every report keeps the reference's ORDER BY. How it is sorted depends on
 what bounds the result:
 
-* results with one row per route, period or season are bounded by those
-  small domains; they are moved to one partition and sorted there, which
-  avoids the sampling job a range partitioning needs;
-* results with one row per driver, truck or customer (or a tie-dependent
-  top-k) grow with the data and get a distributed range sort.
+* results with one row per calendar period or season are bounded by the
+  calendar; they are moved to one partition and sorted there (``bounded``),
+  which avoids the sampling job a range partitioning needs;
+* results with one row per driver, truck, customer or route (or a
+  tie-dependent top-k) grow with the data and get a distributed range sort.
 """
 
 from __future__ import annotations

@@ -1,23 +1,15 @@
-"""Dense ranks, top-k cuts and n-tiles (B5, B6).
-
-Ways to rank:
-
-``window``       one ``dense_rank`` window. Every rank group is sorted in one
-                 task, so only for inputs bounded by a small domain (months,
-                 routes) or for groups that are each small.
-``top``          ``dense_rank <= k``: Catalyst plans a partial WindowGroupLimit
-                 before the shuffle, so each map task forwards at most the top
-                 k values of each group; the final window sees a bounded input.
-``distributed``  the full rank of an unbounded number of entities (all drivers
-                 in a month, all trucks). The distinct values are range-sorted
-                 across many partitions, numbered inside each partition, and
-                 shifted by the counts of the partitions before them. No task
-                 holds more than one range partition.
-``auto``         stores the input once, measures its largest rank group and
-                 uses ``window`` when that group fits the per-task row limit
-                 (``spark.fleetlens.rank.maxGroupRowsPerTask``), otherwise
-                 ``distributed``. Exact either way; only the physical plan
-                 differs, like a size-checked broadcast.
+"""Dense ranks, top-k cuts, n-tiles and medians (B5, B6).
+
+Every rank is one lazy plan at every size: nothing is counted or stored while
+it is built. The full rank of an unbounded number of entities works on the
+distinct values: a value falls into a bucket computed from the value itself
+(any function that never falls as the value rises is exact), values are
+numbered inside their bucket, and the counts of the buckets before are added.
+There are at most a few hundred thousand buckets whatever the data, so only
+bucket counts pass through one window per group; a hot value is one row.
+
+``top_dense_rank`` needs no buckets: Catalyst cuts the distinct values of each
+group at k before the shuffle, and the rows are joined to the k that remain.
 
 Order follows the reference dialect: descending puts nulls first, ascending
 puts them last.
@@ -30,25 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.session import materialize
-
-MAX_GROUP_ROWS_CONF = "spark.fleetlens.rank.maxGroupRowsPerTask"
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
-
-def max_group_rows(df: DataFrame) -> int:
-    """Largest rank group one task may sort (session setting, else the default)."""
-    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-
-
-def largest_group(df: DataFrame, partition_by: Sequence[str]) -> int:
-    """Row count of the largest group (one number returned to the driver)."""
-    if partition_by:
-        counts = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n"))
-        top = counts.agg(F.max("_n")).first()[0]
-    else:
-        top = df.agg(F.count(F.lit(1))).first()[0]
-    return int(top or 0)
+#: Buckets per unit of the natural logarithm of 1 + |value|.
+BUCKETS_PER_LOG = 2000
+#: Ids per bucket where rows that tie are put in order of their id.
+IDS_PER_BUCKET = 10_000
 
 
 def sort_key(col: str, descending: bool) -> Column:
@@ -56,168 +33,118 @@ def sort_key(col: str, descending: bool) -> Column:
     return c.desc_nulls_first() if descending else c.asc_nulls_last()
 
 
-def dense_rank_window(
-    df: DataFrame,
-    order_col: str,
-    rank_name: str,
-    partition_by: Sequence[str] = (),
-    descending: bool = True,
-) -> DataFrame:
-    w = Window.partitionBy(*partition_by).orderBy(sort_key(order_col, descending))
-    return df.withColumn(rank_name, F.dense_rank().over(w).cast("bigint"))
+def value_bucket(value: Column) -> Column:
+    """Bucket of a number; a greater value never has a smaller bucket. Null for null."""
+    v = value.cast("double")
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * BUCKETS_PER_LOG)).cast("long")
 
 
-def top_dense_rank(
-    df: DataFrame,
-    order_col: str,
-    rank_name: str,
-    top: int,
-    partition_by: Sequence[str] = (),
-    descending: bool = True,
-) -> DataFrame:
-    """Rows whose dense rank is at most ``top`` (ties kept, so possibly more rows)."""
-    w = Window.partitionBy(*partition_by).orderBy(sort_key(order_col, descending))
-    rank = F.dense_rank().over(w)
-    # Filter on the window expression itself so Catalyst recognises the
-    # rank-limit pattern and inserts the partial WindowGroupLimit.
-    return df.withColumn(rank_name, rank).where(F.col(rank_name) <= top).withColumn(
-        rank_name, F.col(rank_name).cast("bigint")
-    )
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
 
 
-def _number_sorted(sorted_df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Global 1-based position of each row of a range-sorted DataFrame.
+def _with_before(counts: DataFrame, count: str, within: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Adds the sum of ``count`` over the rows before, in ``order`` within the group."""
+    before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn(name, F.coalesce(F.sum(count).over(before), F.lit(0)))
 
-    ``group_cols`` restart the numbering (they must lead the sort order).
-    Positions inside a partition come from ``monotonically_increasing_id``
-    after the sort; the per-partition row counts (at most one row per
-    partition and group) give each partition's offset. The numbered rows are
-    written to the shared checkpoint folder so the offsets and the rows are
-    read from the same fixed data, also after an executor is lost.
-    """
-    tagged = materialize(
-        sorted_df.select(
-            "*",
-            F.spark_partition_id().alias("_part"),
-            F.monotonically_increasing_id().alias("_pos"),
-        )
-    )
-    stats = tagged.groupBy("_part", *group_cols).agg(
-        F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
-    before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    whole = Window.partitionBy(*group_cols)
-    offsets = stats.select(
-        F.col("_part").alias("_o_part"),
-        *[F.col(g).alias(f"_o_{g}") for g in group_cols],
-        F.col("_first"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(whole).alias("_group_rows"),
-    )
-    cond = F.col("_part") == F.col("_o_part")
-    for g in group_cols:
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    # offsets has at most (#partitions + #groups) rows; AQE broadcasts it
-    # when its measured size is under the broadcast threshold.
-    numbered = tagged.join(offsets, cond, "inner")
-    return numbered.select(
-        *[c for c in sorted_df.columns],
-        (F.col("_pos") - F.col("_first") + F.col("_before") + 1).alias("_rownum"),
-        F.col("_group_rows"),
-    )
-
-
-def dense_rank_distributed(
-    df: DataFrame,
-    order_col: str,
-    rank_name: str,
-    partition_by: Sequence[str] = (),
-    descending: bool = True,
+
+def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``columns`` of ``table`` for every row of ``df``, matched on ``keys`` with nulls equal."""
+    renamed = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
+    return df.join(renamed, _same(keys, [f"_k{i}" for i in range(len(keys))])).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def dense_rank(
+    df: DataFrame, order_col: str, rank_name: str, partition_by: Sequence[str] = (), descending: bool = True
 ) -> DataFrame:
-    """Full dense rank without gathering a rank group into one task.
+    """Dense rank of every row, without gathering a rank group into one task.
 
-    The rank of a value is its position among the group's distinct values, so
-    the distinct (group, value) pairs are numbered and joined back on
-    (group, value) with null-safe equality. A hot value is a skewed join key,
-    which AQE splits.
+    The rank of a value is its position among the group's distinct values.
     """
     keys = [*partition_by, order_col]
-    distinct_vals = df.select(*keys).distinct()
-    order = [F.col(p).asc_nulls_last() for p in partition_by] + [sort_key(order_col, descending)]
-    numbered = _number_sorted(distinct_vals.orderBy(*order), partition_by)
-    ranks = numbered.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        F.col("_rownum").cast("bigint").alias(rank_name),
-    )
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = c if cond is None else cond & c
-    return df.join(ranks, cond, "inner").drop(*[f"_r_{k}" for k in keys])
+    values = df.select(*keys).distinct().withColumn("_bucket", value_bucket(F.col(order_col)))
+    buckets = values.groupBy(*partition_by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    buckets = _with_before(buckets, "_n", partition_by, [sort_key("_bucket", descending)], "_before")
+    inside = Window.partitionBy(*partition_by, "_bucket").orderBy(sort_key(order_col, descending))
+    numbered = values.withColumn("_place", F.row_number().over(inside))
+    ranked = _attach(numbered, buckets, [*partition_by, "_bucket"], ["_before"])
+    ranked = ranked.withColumn(rank_name, (F.col("_before") + F.col("_place")).cast("bigint"))
+    return _attach(df, ranked, keys, [rank_name])
 
 
-def dense_rank(
+def top_dense_rank(
     df: DataFrame,
     order_col: str,
     rank_name: str,
+    top: int,
     partition_by: Sequence[str] = (),
     descending: bool = True,
-    *,
-    strategy: str = "window",
-    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """Dense rank by one of the strategies in the module docstring.
+    """Rows whose dense rank is at most ``top`` (ties kept, so possibly more rows).
 
-    For ``auto``, ``bound`` may name a table whose row count is a proven upper
-    bound on any rank group (e.g. every group holds distinct drivers, and
-    each driver comes from a trip row, so no group exceeds the trips). When
-    that cheap count is within the per-task limit the plain window is used
-    directly; otherwise the input is stored and its largest group counted.
+    Only the top distinct values are ranked, at most ``top`` per group and
+    map task reach the window; rows that tie are not gathered.
     """
-    if strategy == "auto":
-        limit = max_group_rows(df)
-        if bound is not None and bound.count() <= limit:
-            strategy = "window"
-        else:
-            # The input is read more than once (size check, then the rank): store it once.
-            df = materialize(df)
-            strategy = "window" if largest_group(df, partition_by) <= limit else "distributed"
-    if strategy == "window":
-        return dense_rank_window(df, order_col, rank_name, partition_by, descending)
-    if strategy == "distributed":
-        return dense_rank_distributed(df, order_col, rank_name, partition_by, descending)
-    raise ValueError(f"unknown ranking strategy {strategy!r}")
-
-
-def first_ntile(
-    df: DataFrame,
-    order: Sequence[Column],
-    buckets: int,
-    bucket_name: str,
-    *,
-    bound: DataFrame | None = None,
-) -> DataFrame:
-    """Rows of the first of ``buckets`` n-tiles under a total ``order``, with the bucket number.
+    keys = [*partition_by, order_col]
+    w = Window.partitionBy(*partition_by).orderBy(sort_key(order_col, descending))
+    # Filter on the window expression itself so Catalyst recognises the
+    # rank-limit pattern and inserts the partial WindowGroupLimit.
+    values = df.select(*keys).distinct().withColumn(rank_name, F.dense_rank().over(w)).where(F.col(rank_name) <= top)
+    return _attach(df, values.withColumn(rank_name, F.col(rank_name).cast("bigint")), keys, [rank_name])
+
+
+def first_ntile(df: DataFrame, measure: str, id_col: str, buckets: int, bucket_name: str) -> DataFrame:
+    """Rows of the first of ``buckets`` n-tiles by ``measure`` (descending, nulls first), then ``id_col``.
 
     An n-tile over n rows gives the first ``n % buckets`` tiles one extra row,
-    so tile 1 holds ``ceil(n / buckets)`` rows (all rows when n < buckets would
-    each be their own tile: tile 1 is then the first row). Beyond the
-    per-task row limit the rows are numbered by a distributed sort instead
-    of an unpartitioned window. ``bound`` works as in ``dense_rank``.
+    so tile 1 holds ``ceil(n / buckets)`` rows. A row's position is the number
+    of rows in the value buckets before its own, of rows with a greater value
+    in its bucket, of rows with its value in the id buckets before, and its
+    place among the rest. ``id_col`` is a whole number, distinct per row.
+    """
+    rows = df.withColumn("_bucket", value_bucket(F.col(measure))).withColumn("_ids", F.floor(F.col(id_col) / IDS_PER_BUCKET))
+    cell = ["_bucket", measure, "_ids"]
+    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n3"))
+    values = cells.groupBy("_bucket", measure).agg(F.sum("_n3").alias("_n2"))
+    tops = values.groupBy("_bucket").agg(F.sum("_n2").alias("_n1"))
+    tops = _with_before(tops, "_n1", [], [sort_key("_bucket", True)], "_before1")
+    tops = tops.withColumn("_size", F.ceil(F.sum("_n1").over(Window.partitionBy()) / F.lit(buckets)))
+    # Buckets past the cut are left out here, so only rows near it are placed one by one.
+    tops = tops.where(F.col("_before1") < F.col("_size"))
+    values = _with_before(values, "_n2", ["_bucket"], [sort_key(measure, True)], "_before2")
+    values = _attach(values, tops, ["_bucket"], ["_before1", "_size"])
+    cells = _with_before(cells, "_n3", ["_bucket", measure], [F.col("_ids").asc_nulls_last()], "_before3")
+    cells = _attach(cells, values, ["_bucket", measure], ["_before1", "_before2", "_size"])
+    cells = cells.withColumn("_before", F.col("_before1") + F.col("_before2") + F.col("_before3"))
+    near = _attach(rows, cells.where(F.col("_before") < F.col("_size")), cell, ["_before", "_size"])
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy(F.col(id_col).asc_nulls_last()))
+    kept = near.withColumn("_place", place).where(F.col("_before") + F.col("_place") <= F.col("_size"))
+    return kept.select(*df.columns, F.lit(1).cast("bigint").alias(bucket_name))
+
+
+def median(df: DataFrame, measure: str, name: str) -> DataFrame:
+    """One row: the interpolated median of ``measure`` (nulls ignored, null for no values).
+
+    The middle values are found by the counts of the values before them, in
+    buckets as for the ranks.
     """
-    limit = max_group_rows(df)
-    small = bound is not None and bound.count() <= limit
-    if not small:
-        df = materialize(df)
-        small = largest_group(df, []) <= limit
-    if small:
-        # Small enough for one task: the plain n-tile window.
-        tile = F.ntile(buckets).over(Window.orderBy(*order))
-        return df.withColumn(bucket_name, tile.cast("bigint")).where(F.col(bucket_name) == 1)
-    numbered = _number_sorted(df.orderBy(*order), [])
-    size = F.ceil(F.col("_group_rows") / F.lit(buckets))
-    return numbered.where(F.col("_rownum") <= size).select(
-        *df.columns, F.lit(1).cast("bigint").alias(bucket_name)
-    )
+    values = df.where(F.col(measure).isNotNull()).groupBy(measure).agg(F.count(F.lit(1)).alias("_n"))
+    values = values.withColumn("_bucket", value_bucket(F.col(measure)))
+    buckets = values.groupBy("_bucket").agg(F.sum("_n").alias("_n1"))
+    buckets = _with_before(buckets, "_n1", [], [F.col("_bucket")], "_before1")
+    buckets = buckets.withColumn("_all", F.sum("_n1").over(Window.partitionBy()))
+    middle = (F.col("_all") - 1) / 2
+    # The buckets that hold the one or two middle values.
+    buckets = buckets.where((F.col("_before1") <= F.ceil(middle)) & (F.col("_before1") + F.col("_n1") > F.floor(middle)))
+    held = _attach(values, buckets, ["_bucket"], ["_before1", "_all"])
+    held = _with_before(held, "_n", ["_bucket"], [F.col(measure)], "_before2")
+    first = F.col("_before1") + F.col("_before2")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((first <= place) & (place < first + F.col("_n")), F.col(measure)))
+
+    return held.agg((at(F.floor(middle)) * 0.5 + at(F.ceil(middle)) * 0.5).alias(name))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from fleetlens.functions.exact import COUNT, ratio
+from fleetlens.operators.change import by_entity
 
 
 def trailing_mean(
@@ -33,7 +34,7 @@ def trailing_mean(
         .rowsBetween(-(rows - 1), Window.currentRow)
     )
     m = F.col(measure)
-    return df.withColumn(
+    return by_entity(df, keys).withColumn(
         out_name,
         ratio(F.sum(m).over(w), F.count(m).over(w), scale, num_type=num_type, den_type=COUNT),
     )

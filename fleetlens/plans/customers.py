@@ -22,41 +22,33 @@ def customer_revenue(
 ) -> DataFrame:
     """Revenue, load count and revenue count per customer (and load period).
 
-    Without a period, loads are aggregated per customer (the join key) before
-    the join to the customer table, so the join sees one row per customer on
-    the fact side and reuses the aggregate's partitioning; the result is
+    Loads are aggregated per customer (and period) before the join to the
+    customer table, so each map task sends at most one row per customer and
+    period and a hot customer's loads never meet in one task. The result is
     aggregated again by the report keys, which keeps the semantics of joining
-    first even if a customer id repeated. With a period, a pre-aggregate
-    would be keyed by (customer, period) and need its own shuffle, so loads
-    are joined first and aggregated once (the join's partitioning on the
-    customer id already serves that aggregate).
+    first even if a customer id repeated.
     """
     loads = loads if loads is not None else t.loads
     cust_cols = ["customer_id"] + (["customer_name"] if with_name else [])
     customers = t.customers.select(*cust_cols)
-    if unit is None:
-        pre = loads.groupBy("customer_id").agg(
-            F.sum("revenue").alias("rev"),
-            F.count("load_id").alias("n_loads"),
-            F.count("revenue").alias("n_rev"),
-        )
-        return pre.join(customers, "customer_id").groupBy(*cust_cols).agg(
-            F.sum("rev").alias("revenue"),
-            F.sum("n_loads").alias("n_loads"),
-            F.sum("n_rev").alias("n_rev"),
-        )
-    facts = loads.select("customer_id", "load_id", "revenue", period("load_date", unit).alias(unit))
-    return facts.join(customers, "customer_id").groupBy(*cust_cols, unit).agg(
-        F.sum("revenue").alias("revenue"),
+    periods = [period("load_date", unit).alias(unit)] if unit else []
+    pre = loads.groupBy("customer_id", *periods).agg(
+        F.sum("revenue").alias("rev"),
         F.count("load_id").alias("n_loads"),
         F.count("revenue").alias("n_rev"),
     )
+    keys = [*cust_cols, unit] if unit else cust_cols
+    return pre.join(customers, "customer_id").groupBy(*keys).agg(
+        F.sum("rev").alias("revenue"),
+        F.sum("n_loads").alias("n_loads"),
+        F.sum("n_rev").alias("n_rev"),
+    )
 
 
 @report("customer_revenue", 39, "Total revenue per customer")
 def customer_revenue_total(t: Tables) -> DataFrame:
     out = customer_revenue(t).select("customer_id", F.round("revenue", 2).alias("total_revenue"))
-    return out.orderBy(sort_key("total_revenue", True))
+    return out.orderBy(sort_key("total_revenue", True), F.col("customer_id").asc_nulls_last())
 
 
 @report("customer_revenue_per_load", 40, "Average revenue per load per customer")
@@ -68,7 +60,7 @@ def customer_revenue_per_load(t: Tables) -> DataFrame:
         F.col("n_loads").alias("total_loads"),
         F.round("revenue", 2).alias("total_revenue"),
         ratio(F.col("revenue"), F.col("n_rev"), 2, den_type=COUNT).alias("revenue_per_load"),
-    ).orderBy(sort_key("revenue_per_load", True))
+    ).orderBy(sort_key("revenue_per_load", True), F.col("customer_id").asc_nulls_last())
 
 
 def _monthly_change(t: Tables, with_name: bool) -> DataFrame:
@@ -87,7 +79,7 @@ def customer_revenue_mom(t: Tables) -> DataFrame:
         F.round("prev", 2).alias("prev_month_revenue"),
         F.round("cur", 2).alias("current_month_revenue"),
         F.round(F.col("cur") - F.col("prev"), 2).alias("revenue_trend"),
-    ).orderBy("customer_id", "month")
+    ).orderBy(F.col("customer_id").asc_nulls_last(), F.col("month").asc_nulls_last())
 
 
 @report("customer_top5_quarter", 42, "Top 5 customers by revenue in each quarter")
@@ -101,7 +93,7 @@ def customer_top5_quarter(t: Tables) -> DataFrame:
         "quarter",
         F.round("revenue", 2).alias("quarterly_revenue"),
         "quarterly_rank",
-    ).orderBy(F.col("quarter").asc_nulls_last(), sort_key("quarterly_revenue", True))
+    ).orderBy(F.col("quarter").asc_nulls_last(), sort_key("quarterly_revenue", True), F.col("customer_id").asc_nulls_last())
 
 
 @report("customer_revenue_share", 43, "Customer share of total revenue")
@@ -114,7 +106,7 @@ def customer_revenue_share(t: Tables) -> DataFrame:
         F.round("revenue", 2).alias("customer_revenue"),
         F.round("grand", 2).alias("total_revenue"),
         "customer_revenue_percentage",
-    ).orderBy(sort_key("customer_revenue_percentage", True))
+    ).orderBy(sort_key("customer_revenue_percentage", True), F.col("customer_id").asc_nulls_last())
 
 
 @report("customer_revenue_growth", 44, "Month-over-month revenue growth rate per customer")
@@ -129,7 +121,7 @@ def customer_revenue_growth(t: Tables) -> DataFrame:
         F.round(cur, 2).alias("current_month_revenue"),
         F.round(cur - prev, 2).alias("revenue_trend"),
         ratio(cur - prev, prev, 2, pct=True).alias("revenue_growth_percentage"),
-    ).orderBy("customer_id", "month")
+    ).orderBy(F.col("customer_id").asc_nulls_last(), F.col("month").asc_nulls_last())
 
 
 @report("customer_top_year", 45, "Top customer by revenue in the latest year")
@@ -144,4 +136,4 @@ def customer_top_year(t: Tables) -> DataFrame:
         "year",
         F.round("revenue", 2).alias("yearly_revenue"),
         "yearly_rank",
-    ).orderBy("customer_id", "customer_name")
+    ).orderBy(F.col("customer_id").asc_nulls_last(), "customer_name")

@@ -49,7 +49,7 @@ def driver_on_time(t: Tables) -> DataFrame:
         F.sum("n_on_time").alias("on_time_deliveries"),
     )
     return agg.withColumn("on_time_delivery_rate", _on_time_rate()).orderBy(
-        sort_key("on_time_delivery_rate", True)
+        sort_key("on_time_delivery_rate", True), F.col("driver_id").asc_nulls_last()
     )
 
 
@@ -59,7 +59,7 @@ def driver_mpg(t: Tables) -> DataFrame:
         F.count("trip_id").alias("total_trips"),
         mean("average_mpg", 2, num_type=SMALL_AMOUNT).alias("avg_driver_mpg"),
     )
-    return agg.orderBy(sort_key("avg_driver_mpg", True))
+    return agg.orderBy(sort_key("avg_driver_mpg", True), F.col("driver_id").asc_nulls_last())
 
 
 @report("driver_revenue_per_mile", 3, "Revenue per mile per driver")
@@ -71,7 +71,7 @@ def driver_revenue_per_mile(t: Tables) -> DataFrame:
     )
     return agg.withColumn(
         "revenue_per_mile", ratio(F.col("total_revenue"), F.col("total_distance"), 2)
-    ).orderBy(sort_key("revenue_per_mile", True))
+    ).orderBy(sort_key("revenue_per_mile", True), F.col("driver_id").asc_nulls_last())
 
 
 @report("driver_monthly_on_time_rank", 4, "Drivers ranked by on-time rate within each month")
@@ -86,14 +86,9 @@ def driver_monthly_on_time_rank(t: Tables) -> DataFrame:
         F.count("event_id").alias("total_deliveries"),
         F.count(F.when(F.col("on_time_flag"), F.lit(1))).alias("on_time_deliveries"),
     ).withColumn("on_time_delivery_rate", _on_time_rate())
-    # All drivers of a month form one rank group, which grows with the fleet:
-    # a size-checked rank that switches to a distributed sort when a month
-    # would not fit one task.
-    ranked = dense_rank(
-        monthly, "on_time_delivery_rate", "monthly_rank", ["month"],
-        strategy="auto", bound=t.trips,  # a month's drivers each come from a trip row
-    )
-    return ranked.orderBy(F.col("month").asc_nulls_last(), "monthly_rank")
+    # All drivers of a month form one rank group, which grows with the fleet.
+    ranked = dense_rank(monthly, "on_time_delivery_rate", "monthly_rank", ["month"])
+    return ranked.orderBy(F.col("month").asc_nulls_last(), "monthly_rank", F.col("driver_id").asc_nulls_last())
 
 
 @report("driver_top_decile", 5, "Top 10% of drivers by revenue per mile")
@@ -110,7 +105,7 @@ def driver_top_decile(t: Tables) -> DataFrame:
     )
     # Ties on the measure are broken by driver id so the cut is deterministic.
     order = [sort_key("revenue_per_mile", True), F.col("driver_id").asc_nulls_last()]
-    top = first_ntile(drivers, order, 10, "revenue_bucket", bound=t.trips)
+    top = first_ntile(drivers, "revenue_per_mile", "driver_id", 10, "revenue_bucket")
     return top.orderBy(*order)
 
 
@@ -131,7 +126,7 @@ def driver_mpg_vs_fleet(t: Tables) -> DataFrame:
         ratio(f_sum, f_n, 2, num_type=SMALL_AMOUNT, den_type=COUNT).alias("fleet_avg_mpg"),
         F.round(fixed_quotient(d_sum, d_n) - fixed_quotient(f_sum, f_n), 2).alias("mpg_difference"),
     )
-    return out.orderBy(sort_key("mpg_difference", True))
+    return out.orderBy(sort_key("mpg_difference", True), F.col("driver_id").asc_nulls_last())
 
 
 @report("driver_revenue_mom", 7, "Month-over-month revenue per driver")

@@ -41,12 +41,12 @@ def _truck_revenue(t: Tables, by_month: bool = False) -> DataFrame:
 
 @report("truck_miles", 17, "Total miles per truck")
 def truck_miles(t: Tables) -> DataFrame:
-    return _truck_miles(t).orderBy(sort_key("total_miles", True))
+    return _truck_miles(t).orderBy(sort_key("total_miles", True), "truck_id")
 
 
 @report("truck_revenue", 18, "Total revenue per truck")
 def truck_revenue(t: Tables) -> DataFrame:
-    return _truck_revenue(t).orderBy(sort_key("total_revenue", True))
+    return _truck_revenue(t).orderBy(sort_key("total_revenue", True), "truck_id")
 
 
 @report("truck_revenue_monthly", 19, "Monthly revenue per truck")
@@ -58,19 +58,15 @@ def truck_revenue_monthly(t: Tables) -> DataFrame:
 def truck_rolling_miles(t: Tables) -> DataFrame:
     monthly = _truck_miles(t, by_month=True)
     out = trailing_mean(monthly, ["truck_id"], "month", "total_miles", "rolling_3_month_avg_miles", 3, 2)
-    return out.orderBy("truck_id", F.col("month").asc_nulls_last())
+    return out.orderBy(F.col("truck_id").asc_nulls_last(), F.col("month").asc_nulls_last())
 
 
 @report("truck_revenue_rank_monthly", 21, "Trucks ranked by revenue within each month")
 def truck_revenue_rank_monthly(t: Tables) -> DataFrame:
     monthly = _truck_revenue(t, by_month=True)
-    # Every truck active in a month is in that month's rank group: a
-    # size-checked rank (distributed sort beyond the per-task limit).
-    ranked = dense_rank(
-        monthly, "monthly_revenue", "monthly_revenue_rank", ["month"],
-        strategy="auto", bound=t.trips,  # a month's trucks each come from a trip row
-    )
-    return ranked.orderBy(F.col("month").asc_nulls_last(), "monthly_revenue_rank")
+    # Every truck active in a month is in that month's rank group.
+    ranked = dense_rank(monthly, "monthly_revenue", "monthly_revenue_rank", ["month"])
+    return ranked.orderBy(F.col("month").asc_nulls_last(), "monthly_revenue_rank", "truck_id")
 
 
 @report("truck_miles_vs_fleet", 22, "Truck miles against the fleet mean")
@@ -102,4 +98,4 @@ def truck_miles_growth(t: Tables) -> DataFrame:
         "current_month_miles",
         (cur - prev).alias("growth_miles"),
         ratio(cur - prev, prev, 2, pct=True).alias("miles_growth_pct"),
-    ).orderBy("truck_id", "month")
+    ).orderBy(F.col("truck_id").asc_nulls_last(), F.col("month").asc_nulls_last())

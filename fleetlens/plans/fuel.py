@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import COUNT, SMALL_AMOUNT, period, ratio
 from fleetlens.functions.exact import WIDE_FIXED, fixed_quotient
 from fleetlens.operators import (
+    attach_one_row,
     dense_rank,
+    median,
     period_delta,
-    present,
     sort_key,
     trailing_mean,
 )
@@ -51,7 +52,7 @@ def _mean(scale: int) -> F.Column:
 @report("route_mpg", 33, "Average MPG per route")
 def route_mpg(t: Tables) -> DataFrame:
     out = _route_mpg_sums(t).select("route_id", _mean(2).alias("avg_mpg"))
-    return present(out, sort_key("avg_mpg", True), bounded=True)
+    return out.orderBy(sort_key("avg_mpg", True), F.col("route_id").asc_nulls_last())
 
 
 @report("route_fuel_per_mile", 34, "Fuel cost per mile per route")
@@ -76,7 +77,7 @@ def route_fuel_per_mile(t: Tables) -> DataFrame:
         F.round("fuel", 2).alias("total_fuel_cost"),
         ratio(F.col("fuel"), F.col("total_miles"), 2).alias("cost_per_mile"),
     )
-    return present(out, sort_key("cost_per_mile", True), bounded=True)
+    return out.orderBy(sort_key("cost_per_mile", True), F.col("route_id").asc_nulls_last())
 
 
 @report("route_mpg_mom", 35, "Month-over-month MPG per route")
@@ -92,15 +93,14 @@ def route_mpg_mom(t: Tables) -> DataFrame:
         F.round("cur", 2).alias("current_month_mpg"),
         F.round(F.col("cur") - F.col("prev"), 2).alias("mpg_trend"),
     )
-    return present(out, F.col("route_id").asc_nulls_last(), "month", bounded=True)
+    return out.orderBy(F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last())
 
 
 @report("route_mpg_rank", 36, "Routes ranked by MPG")
 def route_mpg_rank(t: Tables) -> DataFrame:
     routes = _route_mpg_sums(t).select("route_id", _mean(2).alias("avg_mpg"))
-    # One row per route: a small, bounded rank input.
     ranked = dense_rank(routes, "avg_mpg", "mpg_rank")
-    return present(ranked, sort_key("avg_mpg", True), bounded=True)
+    return ranked.orderBy(sort_key("avg_mpg", True), F.col("route_id").asc_nulls_last())
 
 
 @report("route_mpg_below_median", 37, "Routes with MPG below the median route")
@@ -108,17 +108,14 @@ def route_mpg_below_median(t: Tables) -> DataFrame:
     routes = _route_mpg_sums(t).withColumn(
         "mpg_d", F.col("mpg_sum").cast("double") / F.nullif(F.col("mpg_n"), F.lit(0))
     )
-    # Interpolated median over one value per route (exact percentile, not
-    # approximate), taken as a window over those bounded rows so the route
-    # means are computed once.
-    median = F.percentile(F.col("mpg_d"), F.lit(0.5)).over(Window.partitionBy())
-    both = routes.withColumn("median_d", median)
-    out = both.where(F.col("mpg_d") < F.col("median_d")).select(
+    # Interpolated median over one value per route, exact.
+    both = attach_one_row(routes, median(routes, "mpg_d", "median_d"))
+    below = both.where(F.col("mpg_d") < F.col("median_d")).orderBy(sort_key("mpg_d", True), F.col("route_id").asc_nulls_last())
+    return below.select(
         "route_id",
         _mean(4).alias("avg_mpg"),
         F.round(F.col("median_d"), 4).alias("fleet_median"),
     )
-    return present(out, sort_key("avg_mpg", True), bounded=True)
 
 
 @report("route_rolling_mpg", 38, "Rolling 3-month MPG per route")
@@ -133,4 +130,4 @@ def route_rolling_mpg(t: Tables) -> DataFrame:
         monthly, ["route_id"], "month", "fixed_mpg", "rolling_avg_mpg", 3, 4, num_type=WIDE_FIXED
     )
     out = out.select("route_id", "month", "avg_mpg", "rolling_avg_mpg")
-    return present(out, F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last(), bounded=True)
+    return out.orderBy(F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last())

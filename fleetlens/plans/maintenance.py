@@ -29,7 +29,7 @@ def truck_maintenance_cost(t: Tables) -> DataFrame:
     agg = t.maintenance_records.groupBy("truck_id").agg(
         F.round(F.sum("total_cost"), 2).alias("total_maintenance_cost")
     )
-    return agg.orderBy(sort_key("total_maintenance_cost", True))
+    return agg.orderBy(sort_key("total_maintenance_cost", True), F.col("truck_id").asc_nulls_last())
 
 
 @report("truck_downtime", 25, "Total downtime hours per truck")
@@ -37,7 +37,7 @@ def truck_downtime(t: Tables) -> DataFrame:
     agg = t.maintenance_records.groupBy("truck_id").agg(
         F.round(F.sum("downtime_hours"), 2).alias("total_downtime_hours")
     )
-    return agg.orderBy(sort_key("total_downtime_hours", True))
+    return agg.orderBy(sort_key("total_downtime_hours", True), F.col("truck_id").asc_nulls_last())
 
 
 @report("truck_maintenance_per_mile", 26, "Maintenance cost per mile driven")
@@ -51,7 +51,7 @@ def truck_maintenance_per_mile(t: Tables) -> DataFrame:
         "total_miles",
         F.round("cost", 2).alias("total_maintenance_cost"),
         ratio(F.col("cost"), F.col("total_miles"), 4).alias("cost_per_mile"),
-    ).orderBy(sort_key("cost_per_mile", True))
+    ).orderBy(sort_key("cost_per_mile", True), F.col("truck_id").asc_nulls_last())
 
 
 @report("truck_maintenance_mom", 27, "Month-over-month maintenance cost per truck")
@@ -66,7 +66,7 @@ def truck_maintenance_mom(t: Tables) -> DataFrame:
         F.round("prev", 2).alias("prev_month_cost"),
         F.round("cur", 2).alias("current_month_cost"),
         F.round(F.col("cur") - F.col("prev"), 2).alias("monthly_cost_trend"),
-    ).orderBy(F.col("truck_id").asc_nulls_last(), "month")
+    ).orderBy(F.col("truck_id").asc_nulls_last(), F.col("month").asc_nulls_last())
 
 
 @report("maintenance_horizon", 28, "Latest maintenance date")
@@ -82,7 +82,7 @@ def truck_top5_downtime_6m(t: Tables) -> DataFrame:
     top = top_dense_rank(per_truck, "raw_downtime", "downtime_rank", 5)
     return top.select(
         "truck_id", F.round("raw_downtime", 2).alias("total_downtime"), "downtime_rank"
-    ).orderBy(sort_key("total_downtime", True))
+    ).orderBy(sort_key("total_downtime", True), F.col("truck_id").asc_nulls_last())
 
 
 @report("truck_downtime_vs_trips", 30, "Monthly downtime against monthly trip count per truck")
@@ -110,7 +110,7 @@ def truck_downtime_vs_trips(t: Tables) -> DataFrame:
         "current_month_trips",
         (F.col("current_month_trips") - F.col("prev_month_trips")).alias("trips_change"),
         ratio(cur_d, F.col("current_month_trips"), 2, den_type=COUNT).alias("downtime_per_trip"),
-    ).orderBy("truck_id", "operational_month")
+    ).orderBy(F.col("truck_id").asc_nulls_last(), F.col("operational_month").asc_nulls_last())
 
 
 @report("truck_maintenance_vs_revenue", 31, "Maintenance cost against revenue per truck")
@@ -123,7 +123,7 @@ def truck_maintenance_vs_revenue(t: Tables) -> DataFrame:
         F.round("rev", 2).alias("total_revenue"),
         F.round("cost", 2).alias("total_maintenance_cost"),
         F.round(F.col("rev") - F.col("cost"), 2).alias("net_operational_profit"),
-    ).orderBy(sort_key("net_operational_profit", True))
+    ).orderBy(sort_key("net_operational_profit", True), F.col("truck_id").asc_nulls_last())
 
 
 @report("truck_zero_downtime_quarter", 32, "Trucks with no downtime in the latest quarter")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import in_period, period, ratio
 from fleetlens.operators import (
+    attach_one_row,
     comparison_label,
     consecutive_rise,
+    global_totals,
     holders_of_max,
     latest_period_start,
+    latest_value,
     period_delta,
-    present,
     sort_key,
     top_dense_rank,
 )
@@ -87,18 +89,18 @@ def route_profit(t: Tables) -> DataFrame:
 @report("route_revenue", 9, "Total revenue per route")
 def route_revenue(t: Tables) -> DataFrame:
     agg = t.loads.groupBy("route_id").agg(F.round(F.sum("revenue"), 2).alias("total_revenue"))
-    return present(agg, sort_key("total_revenue", True), bounded=True)
+    return agg.orderBy(sort_key("total_revenue", True), F.col("route_id").asc_nulls_last())
 
 
 @report("route_fuel_cost", 10, "Total fuel cost per route")
 def route_fuel_cost(t: Tables) -> DataFrame:
     out = route_fuel(t).select("route_id", F.round("fuel_cost", 2).alias("total_fuel_cost"))
-    return present(out, sort_key("total_fuel_cost", True), bounded=True)
+    return out.orderBy(sort_key("total_fuel_cost", True), F.col("route_id").asc_nulls_last())
 
 
 @report("route_net_profit", 11, "Net profit (revenue - fuel) per route")
 def route_net_profit(t: Tables) -> DataFrame:
-    return present(route_profit(t), sort_key("net_profit", True), bounded=True)
+    return route_profit(t).orderBy(sort_key("net_profit", True), F.col("route_id").asc_nulls_last())
 
 
 @report("route_profit_mom", 12, "Monthly profit trend per route")
@@ -109,41 +111,32 @@ def route_profit_mom(t: Tables) -> DataFrame:
         "previous_month_profit", "profit_trend", keep_first=True, change_scale=2,
     )
     out = out.select("route_id", "month", "previous_month_profit", "net_profit", "profit_trend")
-    return present(out, F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last(), bounded=True)
+    return out.orderBy(F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last())
 
 
 @report("route_top5_quarter", 13, "Top 5 routes by profit in each quarter")
 def route_top5_quarter(t: Tables) -> DataFrame:
     quarterly = route_period_profit(t, "quarter")
     top = top_dense_rank(quarterly, "net_profit", "rank_in_quarter", 5, ["quarter"])
-    return present(top, F.col("quarter").asc_nulls_last(), "rank_in_quarter", bounded=True)
+    return top.orderBy(F.col("quarter").asc_nulls_last(), "rank_in_quarter", F.col("route_id").asc_nulls_last())
 
 
 @report("route_rising_fuel", 14, "Routes whose fuel cost rose over the last 3 months")
 def route_rising_fuel(t: Tables) -> DataFrame:
     monthly = route_fuel(t, "month")
-    # The latest month of the aggregated (route, month) rows: a window over
-    # that small result instead of a subquery that would aggregate again.
-    monthly = monthly.withColumn("latest", F.max("month").over(Window.partitionBy()))
     rising = consecutive_rise(
         monthly, ["route_id"], "month", "fuel_cost",
-        ["prev_month_cost", "prev_2_month_cost"], F.add_months(F.col("latest"), -2),
+        ["prev_month_cost", "prev_2_month_cost"], F.add_months(latest_value(monthly, "month"), -2),
     )
     out = rising.select("route_id", "month", "fuel_cost", "prev_month_cost", "prev_2_month_cost")
-    return present(out, F.col("route_id").asc_nulls_last(), "month", bounded=True)
+    return out.orderBy(F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last())
 
 
 @report("route_profit_vs_company", 15, "Route profit against the company average")
 def route_profit_vs_company(t: Tables) -> DataFrame:
     profit = route_profit(t)
-    # One row per route: the company average is a window over those rows, so
-    # the per-route profit is computed once (a one-row aggregate joined back
-    # would plan it twice).
-    every_route = Window.partitionBy()
-    both = profit.withColumn(
-        "company_average",
-        ratio(F.sum("net_profit").over(every_route), F.count("net_profit").over(every_route), 2),
-    )
+    company = global_totals(profit, _sum=F.sum("net_profit"), _n=F.count("net_profit"))
+    both = attach_one_row(profit, company.select(ratio(F.col("_sum"), F.col("_n"), 2).alias("company_average")))
     diff = F.col("net_profit") - F.col("company_average")
     sign = F.when(diff > 0, 1).when(diff < 0, -1).when(diff == 0, 0)
     out = both.select(
@@ -153,7 +146,7 @@ def route_profit_vs_company(t: Tables) -> DataFrame:
         F.round(diff, 2).alias("difference"),
         comparison_label(sign).alias("difference_status"),
     )
-    return present(out, F.col("route_id").asc_nulls_last(), bounded=True)
+    return out.orderBy(F.col("route_id").asc_nulls_last())
 
 
 @report("route_top_revenue_latest_month", 16, "Route(s) with the highest revenue in the latest month")
@@ -164,7 +157,6 @@ def route_top_revenue_latest_month(t: Tables) -> DataFrame:
     )
     joined = recent.join(t.loads.select("load_id", "route_id", "revenue"), "load_id")
     monthly = joined.groupBy("route_id", "month").agg(F.sum("revenue").alias("total_revenue"))
-    # One row per route: the maximum is taken by a window over that small result.
-    return holders_of_max(monthly, "total_revenue", bounded=True).select(
+    return holders_of_max(monthly, "total_revenue").select(
         "route_id", "month", "total_revenue"
     )

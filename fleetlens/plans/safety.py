@@ -26,7 +26,7 @@ def _driver_incidents(t: Tables) -> DataFrame:
 
 @report("driver_incidents", 46, "Incident count per driver")
 def driver_incidents(t: Tables) -> DataFrame:
-    return _driver_incidents(t).orderBy(F.col("total_incidents").desc())
+    return _driver_incidents(t).orderBy(F.col("total_incidents").desc(), F.col("driver_id").asc_nulls_last())
 
 
 @report("driver_preventable_rate", 47, "Preventable incident rate per driver")
@@ -40,7 +40,7 @@ def driver_preventable_rate(t: Tables) -> DataFrame:
         F.col("preventable_incidents"), F.col("total_incidents"), 2,
         pct=True, num_type=COUNT, den_type=COUNT,
     )
-    return agg.withColumn("preventable_rate_pct", rate).orderBy(sort_key("preventable_rate_pct", True))
+    return agg.withColumn("preventable_rate_pct", rate).orderBy(sort_key("preventable_rate_pct", True), F.col("driver_id").asc_nulls_last())
 
 
 @report("incident_mom", 48, "Monthly incident count and change")
@@ -63,13 +63,9 @@ def incident_mom(t: Tables) -> DataFrame:
 
 @report("driver_incident_rank", 49, "Drivers ranked by incident count")
 def driver_incident_rank(t: Tables) -> DataFrame:
-    # Every driver is in one rank group: a size-checked rank (distributed
-    # sort beyond the per-task limit).
-    ranked = dense_rank(
-        _driver_incidents(t), "total_incidents", "incident_frequency_rank",
-        strategy="auto", bound=t.safety_incidents,  # each driver has an incident row
-    )
-    return ranked.orderBy(F.col("total_incidents").desc())
+    # Every driver is in one rank group.
+    ranked = dense_rank(_driver_incidents(t), "total_incidents", "incident_frequency_rank")
+    return ranked.orderBy(F.col("total_incidents").desc(), F.col("driver_id").asc_nulls_last())
 
 
 @report("preventable_ratio", 50, "Preventable to non-preventable incident ratio")
@@ -103,4 +99,4 @@ def driver_incidents_per_100_trips(t: Tables) -> DataFrame:
         ratio(incidents, F.col("total_trips"), 2, pct=True, num_type=COUNT, den_type=COUNT).alias(
             "incidents_per_100_trips"
         ),
-    ).orderBy(sort_key("incidents_per_100_trips", True))
+    ).orderBy(sort_key("incidents_per_100_trips", True), F.col("driver_id").asc_nulls_last())

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import (
     dense_rank,
-    dense_rank_distributed,
-    dense_rank_window,
     first_ntile,
+    median,
     period_delta,
+    ranking,
     sort_key,
+    top_dense_rank,
     trailing_mean,
 )
-from fleetlens.operators.ranking import MAX_GROUP_ROWS_CONF
+from fleetlens.operators.ranking import value_bucket
 
 
 def _sorted(df, cols):
@@ -34,43 +35,53 @@ def values(spark):
     return spark.createDataFrame(rows, "id long, grp int, v decimal(10,2)")
 
 
+def rank_window(df, order_col, name, partition_by=(), descending=True):
+    w = Window.partitionBy(*partition_by).orderBy(sort_key(order_col, descending))
+    return df.withColumn(name, F.dense_rank().over(w).cast("bigint"))
+
+
 @pytest.mark.parametrize("descending", [True, False])
 @pytest.mark.parametrize("parts", [1, 7])
-def test_distributed_dense_rank_equals_window(spark, values, descending, parts):
+def test_dense_rank_equals_window(spark, values, descending, parts):
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
         for part_by in ([], ["grp"]):
-            want = dense_rank_window(values, "v", "rk", part_by, descending)
-            got = dense_rank_distributed(values, "v", "rk", part_by, descending)
+            want = rank_window(values, "v", "rk", part_by, descending)
+            got = dense_rank(values, "v", "rk", part_by, descending)
             assert _sorted(got, ["id", "rk"]) == _sorted(want, ["id", "rk"])
+            top = top_dense_rank(values, "v", "rk", 3, part_by, descending)
+            assert _sorted(top, ["id", "rk"]) == _sorted(want.where("rk <= 3"), ["id", "rk"])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("limit", ["0", "1000000"])
-@pytest.mark.parametrize("n", [0, 1, 3, 10, 11, 25, 101])
-def test_first_ntile_equals_ntile_window(spark, n, limit):
-    rows = [(i, D(i % 7)) for i in range(n)]
+def test_value_buckets_never_fall(spark):
+    rng = random.Random(3)
+    raw = [rng.uniform(-1, 1) * 10 ** rng.randint(-4, 17) for _ in range(3000)]
+    raw = [D(str(round(v, 2))) for v in sorted(raw)]
+    df = spark.createDataFrame([(v,) for v in raw], "v decimal(22,2)").select("v", value_bucket(F.col("v")).alias("b"))
+    found = [r.b for r in sorted(df.collect(), key=lambda r: r.v)]
+    assert found == sorted(found)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 10, 11, 25, 101, 1000])
+@pytest.mark.parametrize("values_of_n", [1, 7, 100])
+def test_first_ntile_equals_ntile_window(spark, monkeypatch, n, values_of_n):
+    monkeypatch.setattr(ranking, "IDS_PER_BUCKET", 7)
+    rows = [(i * 3, None if i % 50 == 49 else D(i % values_of_n)) for i in range(n)]
     df = spark.createDataFrame(rows, "id long, v decimal(10,2)")
     order = [sort_key("v", True), F.col("id").asc_nulls_last()]
     want = df.withColumn("b", F.ntile(10).over(Window.orderBy(*order))).where("b = 1")
-    spark.conf.set(MAX_GROUP_ROWS_CONF, limit)  # "0" forces the distributed numbering
-    try:
-        got = first_ntile(df, order, 10, "b")
-        assert _sorted(got, ["id", "b"]) == _sorted(want, ["id", "b"])
-    finally:
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)
+    got = first_ntile(df, "v", "id", 10, "b")
+    assert _sorted(got, ["id", "b"]) == _sorted(want, ["id", "b"])
 
 
-@pytest.mark.parametrize("limit", ["0", "1000000"])
-def test_auto_rank_equals_window_either_way(spark, values, limit):
-    spark.conf.set(MAX_GROUP_ROWS_CONF, limit)
-    try:
-        want = dense_rank_window(values, "v", "rk", ["grp"])
-        got = dense_rank(values, "v", "rk", ["grp"], strategy="auto")
-        assert _sorted(got, ["id", "rk"]) == _sorted(want, ["id", "rk"])
-    finally:
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 11, 500])
+def test_median_equals_percentile(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice([None, 1.5, -2.25, rng.uniform(0, 9)]),) for _ in range(n)]
+    df = spark.createDataFrame(rows, "v double")
+    assert median(df, "v", "m").first().m == df.agg(F.percentile("v", 0.5).alias("m")).first().m
 
 
 def test_period_delta_drops_rows_after_a_null_measure(spark):
@@ -93,14 +104,3 @@ def test_trailing_mean_skips_nulls_and_counts_present_rows(spark):
     out = trailing_mean(df, ["k"], "t", "m", "avg3", 3, 2)
     got = {r.t: r.avg3 for r in out.collect()}
     assert got == {1: D("3.00"), 2: D("3.00"), 4: D("4.50"), 9: D("3.50")}
-
-
-@pytest.mark.parametrize("limit", ["0", "1000000"])
-def test_auto_rank_with_bound_equals_window(spark, values, limit):
-    spark.conf.set(MAX_GROUP_ROWS_CONF, limit)
-    try:
-        want = dense_rank_window(values, "v", "rk", ["grp"])
-        got = dense_rank(values, "v", "rk", ["grp"], strategy="auto", bound=values)
-        assert _sorted(got, ["id", "rk"]) == _sorted(want, ["id", "rk"])
-    finally:
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)

@@ -9,7 +9,6 @@ import pytest
 from conftest import SF001
 from micro import spark_tables
 
-from fleetlens.operators.ranking import MAX_GROUP_ROWS_CONF
 from fleetlens.plans.registry import decimals_to_double, load_all
 from fleetlens.sources import load_fixture_tables, read_tables, write_tables
 
@@ -35,13 +34,7 @@ def stored_tables(spark):
     return read_tables(spark, os.path.join(path, "t"))
 
 
-# Reports with a size-checked rank store their input while the plan is
-# built; their plans are checked through the other tests.
-_EAGER = {"driver_monthly_on_time_rank", "driver_top_decile", "truck_revenue_rank_monthly",
-          "driver_incident_rank"}
-
-
-@pytest.mark.parametrize("key", [k for k in R if k not in _EAGER])
+@pytest.mark.parametrize("key", R)
 def test_no_python_in_plan(fixture_tables, key):
     text = plan_text(R[key].build(fixture_tables))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
@@ -76,32 +69,71 @@ def test_latest_period_filter_reaches_the_scan(stored_tables, key, column):
     assert any("ScalarSubquery" in ln for ln in pushed), text
 
 
-@pytest.mark.parametrize(
-    "key",
-    ["driver_monthly_on_time_rank", "driver_top_decile", "truck_revenue_rank_monthly",
-     "driver_incident_rank", "route_profit_mom", "customer_revenue_share"],
-)
-def test_same_answer_for_any_partitioning(spark, fixture_tables, key):
-    def run():
-        df = decimals_to_double(R[key].build(fixture_tables))
-        return sorted((tuple(r) for r in df.collect()), key=repr)
+def test_building_a_report_starts_no_job(spark, stored_tables):
+    sc = spark.sparkContext
+    sc.setJobGroup("build-only", "plans are built, not run")
+    try:
+        for key in R:
+            R[key].build(stored_tables)
+        assert list(sc.statusTracker().getJobIdsForGroup("build-only")) == []
+    finally:
+        sc.setJobGroup("", "")
 
-    base = run()
+
+@pytest.fixture(scope="module")
+def usual_answers(stored_tables):
+    return {key: _answer(key, stored_tables) for key in R}
+
+
+def _answer(key, tables):
+    df = decimals_to_double(R[key].build(tables))
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("key", R)
+def test_same_answer_for_any_partitioning(spark, stored_tables, usual_answers, key):
     old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", "13")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        assert run() == base
-        spark.conf.set("spark.sql.shuffle.partitions", "1")
-        assert run() == base
-        # Force the distributed rank / n-tile path in the size-checked reports.
-        spark.conf.set("spark.sql.shuffle.partitions", "7")
-        spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
-        assert run() == base
+        for n in ("7", "1"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert _answer(key, stored_tables) == usual_answers[key]
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)
+
+
+# Results bounded by the calendar; all others may hold any number of routes or entities.
+_CALENDAR = {k for k, r in R.items() if r.number in (48, *range(52, 60))}
+
+
+@pytest.mark.parametrize("key", [k for k in R if k not in _CALENDAR])
+def test_no_result_is_sorted_in_one_task(fixture_tables, key):
+    assert "REPARTITION_BY_NUM" not in plan_text(R[key].build(fixture_tables))
+
+
+@pytest.mark.parametrize(
+    "key,entity",
+    [("driver_revenue_mom", "driver_id"), ("truck_rolling_miles", "truck_id"), ("truck_miles_growth", "truck_id"),
+     ("truck_maintenance_mom", "truck_id"), ("truck_downtime_vs_trips", "truck_id"),
+     ("customer_revenue_mom", "customer_id"), ("customer_revenue_growth", "customer_id")],
+)
+def test_one_range_exchange_serves_lag_and_sort(fixture_tables, key, entity):
+    plan = R[key].build(fixture_tables)._jdf.queryExecution().executedPlan().toString()
+    ranges = [ln for ln in plan.splitlines() if "Exchange rangepartitioning(" in ln]
+    assert len(ranges) == 1 and entity in ranges[0], plan
+
+
+@pytest.mark.parametrize("key", ["customer_revenue_mom", "customer_top5_quarter", "customer_revenue_growth", "customer_top_year"])
+def test_loads_are_summed_before_they_meet_customers(spark, stored_tables, key):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = R[key].build(stored_tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    below = plan[plan.index("SortMergeJoin"):]
+    assert "partial_sum(revenue" in below, plan
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from micro import spark_tables
 
-from fleetlens.functions import quarter_label, ratio, season
+from fleetlens.functions import quarter_label_of, ratio, season
 from fleetlens.functions.exact import COUNT
 from fleetlens.plans.registry import load_all
 
@@ -31,7 +31,7 @@ def test_ratio_rounds_half_away_from_zero(spark):
 
 def test_quarter_label_and_season_of_null_date(spark):
     df = spark.createDataFrame([(None,)], "d date")
-    row = df.select(quarter_label("d").alias("q"), season("d").alias("s")).first()
+    row = df.select(quarter_label_of(F.year("d"), F.quarter("d")).alias("q"), season("d").alias("s")).first()
     assert (row.q, row.s) == ("Q-", "Unknown")
 
 

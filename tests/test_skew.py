@@ -2,8 +2,6 @@
 
 Built by a fixed rule (no randomness): driver 1, truck 1, load 1 and route 7
 carry a third or more of the rows, many measures tie, and some keys are null.
-The size-checked ranks are forced to their distributed form, so hot values
-in the rank join and ties across range partitions are exercised.
 """
 
 import datetime as dt
@@ -14,7 +12,6 @@ import pytest
 from micro import duck_tables, spark_tables
 from oracle_check import _rows
 
-from fleetlens.operators.ranking import MAX_GROUP_ROWS_CONF
 from fleetlens.plans.registry import decimals_to_double, load_all
 from oracle import oracle_bodies
 
@@ -72,13 +69,11 @@ def con():
 
 @pytest.mark.parametrize("key", list(REPORTS))
 def test_skewed_report_matches_oracle(spark, tables, con, key):
-    spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
     spark.conf.set("spark.sql.shuffle.partitions", "5")
     try:
         sdf = decimals_to_double(REPORTS[key].build(tables))
         s_rows = _rows(sdf.columns, [tuple(r) for r in sdf.collect()])
     finally:
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     res = con.execute(BODIES[key])
     o_rows = _rows([c[0] for c in res.description], res.fetchall())
