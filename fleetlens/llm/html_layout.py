@@ -236,7 +236,7 @@ class Lines:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []  # of (first column, lines)
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # of (first column, columns, lines)
         self._column, self._held = 0, {}  # columns that cells of earlier rows still fill
 
     def row(self) -> None:
@@ -249,7 +249,7 @@ class Table:
             self.row()
         while self._column in self._held:
             self._column += 1
-        self.rows[-1].append((self._column, lines))
+        self.rows[-1].append((self._column, across, lines))
         for c in range(self._column, self._column + across):
             if down > 1:
                 self._held[c] = down
@@ -258,20 +258,19 @@ class Table:
     def lines(self) -> list[str]:
         widths: dict[int, int] = {}
         for row in self.rows:
-            for k, (c, lines) in enumerate(row):
-                last = row[k + 1][0] if k + 1 < len(row) else c + 1
-                if last == c + 1:
+            for c, across, lines in row:
+                if across == 1:
                     widths[c] = min(COLUMN, max([widths.get(c, 0), *map(len, lines)]))
         # Where each column begins, two characters after the widest of the one before.
         starts, at = {}, 0
-        for c in sorted({c for row in self.rows for c, _ in row} | set(widths)):
+        for c in sorted({c for row in self.rows for c, _, _ in row}):
             starts[c] = at
             at += widths.get(c, 0) + 2
         out = []
         for row in self.rows:
-            for k in range(max((len(lines) for _, lines in row), default=0)):
+            for k in range(max((len(lines) for _, _, lines in row), default=0)):
                 line = ""
-                for c, lines in row:
+                for c, _, lines in row:
                     if k < len(lines) and lines[k]:
                         line = line + " " * max(starts[c] - len(line), 2 if line else 0) + lines[k]
                 out.append(line.rstrip())
@@ -332,8 +331,10 @@ def render(root: Element) -> str:
                 indents.append(out.indent)
                 out.indent += "  "
             todo.append(("out", element, parent, visible, keep))
+            folded = tag == "details" and "open" not in element.attributes
             for child in reversed(element.children):
-                todo.append(("text" if isinstance(child, str) else "in", child, element, visible, keep))
+                text = isinstance(child, str)
+                todo.append(("text" if text else "in", child, element, visible and not (text and folded), keep))
             continue
         if tag in ("td", "th") and tables and outer:
             cell, out = out, outer.pop()
