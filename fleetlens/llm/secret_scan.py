@@ -81,11 +81,14 @@ def _none() -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Array of (start, end, found, sized) of each base kind."""
-    out = {}
-    for kind, pattern, group, least in BASE:
-        fitting = F.filter(spans(text, pattern, group), lambda s, n=least: F.length(s["sized"]) >= n)
-        out[kind] = F.when(text.rlike(_HINT[kind]), fitting).otherwise(_none())
-    return out
+
+    def long_enough(least: int):
+        return lambda s: F.length(s["sized"]) >= least
+
+    return {
+        kind: F.when(text.rlike(_HINT[kind]), F.filter(spans(text, pattern, group), long_enough(least))).otherwise(_none())
+        for kind, pattern, group, least in BASE
+    }
 
 
 def erfc(x: Column) -> Column:
@@ -217,10 +220,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
     base = base_spans(F.col("text"))
-    named = [
-        F.transform(base[kind], lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
-        for k, (kind, *_) in enumerate(BASE)
-    ]
+
+    def of_kind(k: int):
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))
+
+    named = [F.transform(base[kind], of_kind(k)) for k, (kind, *_) in enumerate(BASE)]
     runs = F.when(F.col("text").rlike(CANDIDATE), spans(F.col("text"), CANDIDATE, 0)).otherwise(_none())
     rows = rows.select("id", F.array_sort(F.concat(*named)).alias("base"), runs.alias("runs"))
     apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))

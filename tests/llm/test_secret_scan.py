@@ -78,8 +78,7 @@ def test_battery_equals_plain_statistics(spark):
     rows = spark.createDataFrame([(f,) for f in found], "found string")
     for r in secret_scan.battery(rows).collect():
         symbols = r.found.rstrip("=")
-        if r.encoding != "hex":
-            symbols = symbols.replace("-", "+").replace("_", "/")
+        symbols = symbols.lower() if r.encoding == "hex" else symbols.replace("-", "+").replace("_", "/")
         want = chi_parts(symbols, secret_scan.ALPHABETS[r.encoding][0])
         assert (r.p_uniform, r.p_runs, r.p_serial) == pytest.approx(want, rel=1e-5, abs=1e-9)
         assert r.n == len(symbols) and 0 <= r.p_text <= 1
