@@ -107,7 +107,7 @@ def season_revenue_share(t: Tables) -> DataFrame:
         F.round("total", 2).alias("total_revenue"),
         "seasonal_revenue_contribution",
     )
-    return present(out, sort_key("seasonal_revenue_contribution", True), bounded=True)
+    return present(out, sort_key("seasonal_revenue_contribution", True), "season", bounded=True)
 
 
 @report("busiest_load_month", 59, "Month with the highest load volume")

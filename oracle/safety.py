@@ -36,10 +36,12 @@ SELECT p AS preventable_incidents, np AS non_preventable_incidents,
 FROM c
 """,
     "driver_incidents_per_100_trips": f"""
-WITH tc AS (SELECT driver_id, COUNT(*) AS total_trips FROM trips WHERE driver_id IS NOT NULL GROUP BY driver_id),
-     ic AS (SELECT driver_id, COUNT(*) AS n FROM safety_incidents WHERE driver_id IS NOT NULL GROUP BY driver_id)
-SELECT tc.driver_id, COALESCE(ic.n, 0) AS total_incidents, tc.total_trips,
-       {rdiv('COALESCE(ic.n, 0)', 'tc.total_trips', 2, ns=0, ds=0, pct=True)} AS incidents_per_100_trips
-FROM tc LEFT JOIN ic ON ic.driver_id = tc.driver_id
+WITH d AS (
+  SELECT driver_id, COUNT(*) AS total_trips,
+    (SELECT COUNT(*) FROM safety_incidents WHERE safety_incidents.driver_id = trips.driver_id) AS total_incidents
+  FROM trips WHERE driver_id IS NOT NULL GROUP BY driver_id)
+SELECT driver_id, total_incidents, total_trips,
+       {rdiv('total_incidents', 'total_trips', 2, ns=0, ds=0, pct=True)} AS incidents_per_100_trips
+FROM d
 """,
 }

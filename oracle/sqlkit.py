@@ -86,6 +86,15 @@ def year(col: str) -> str:
     return f"CAST(date_trunc('year', {col}) AS DATE)"
 
 
+# The labels of a comparison.
+ABOVE, BELOW, EQUAL = "Above Average", "Below Average", "Equal to Average"
+
+
+def compared(a: str, b: str) -> str:
+    """Label of a against b; a null comparison counts as equal."""
+    return f"CASE WHEN {a} > {b} THEN '{ABOVE}' WHEN {a} < {b} THEN '{BELOW}' ELSE '{EQUAL}' END"
+
+
 def label(col: str) -> str:
     """'Mon-YYYY' text of a date."""
     return f"strftime({col}, '%b-%Y')"
