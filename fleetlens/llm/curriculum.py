@@ -150,7 +150,7 @@ def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     words are taken by no pass and do not come.
     """
     placed = assign(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    each = stored(placed.select("row", "size", "key", F.explode("passes").alias("taken")), "curriculum")
+    each = placed.select("row", "size", "key", F.explode("passes").alias("taken"))
     text = F.col(f"row.`{text_col}`")
     words = F.col("taken.words").cast("int")
     cut = F.when(F.col("taken.words") < F.col("size"), first_words(text, words)).otherwise(text)
