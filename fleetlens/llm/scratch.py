@@ -37,5 +37,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     depends on how rows were dealt (row tags) is fixed once written.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
