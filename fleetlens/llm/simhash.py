@@ -241,7 +241,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, id_
     roots = components(links(points, max_bits))
     # One row per distinct fingerprint from here to the last join.
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "simhash")
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(first, "root").select(F.col("fp").alias("_fp"), "component_id")
     joined = marked.join(named, F.col("fp") == F.col("_fp"))
@@ -249,12 +248,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, id_
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the least of its component.
+    """The rows of `docs` without those whose component has a lesser id.
 
-    Ids name documents: rows that repeat the least id are the same document
-    and stay together. Rows without an id stay if their component has none.
+    Ids name documents: rows that repeat an id are the same document and stay
+    or go together, by any of their texts. Rows without an id stay, since no
+    id can name them.
     """
     found = near_duplicates(docs, shingle=shingle, max_bits=max_bits, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("_id"))
-    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").select("row.*")
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
