@@ -253,10 +253,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     met = read_arc(spark, arc_path, bodies=False).where((F.col("warc_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
     one = F.struct(F.col("page_id").isNull(), "page_id", "record_id", "uri", "date")
     groups = met.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("first")).where("n > 1")
-    # Only payloads that occur again: the bodies of a hot one are split over tasks by the join.
+    # Only payloads that occur again. Stored, so that the join may split the bodies of a hot one.
     firsts = groups.select(
         F.col("payload_digest").alias("_digest"), F.col("first.record_id").alias("first_id"), F.col("first.uri").alias("first_uri"), F.col("first.date").alias("first_date")
     )
+    firsts = stored(firsts, "repeats")
     rows = read_arc(spark, arc_path)
     again = (F.col("payload_digest") == F.col("_digest")) & (F.col("warc_type") == "response")
     joined = rows.join(firsts, again, "left").drop("_digest")
