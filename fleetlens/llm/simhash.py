@@ -248,13 +248,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, id_
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without those whose component has a lesser id.
+    """One row of each component of near copies: that with the least id, and of those the least SHA-256 of the text.
 
-    Ids name documents: rows that repeat an id are the same document and stay
-    or go together, by any of their texts. Rows without an id stay, since no
-    id can name them.
+    Rows without an id come after all others. Rows are told apart by id and
+    text, so of two texts under one id each stays or goes by its own component.
+    Of rows that agree in both (a null text counts as empty) any one is kept.
     """
-    found = near_duplicates(docs, shingle=shingle, max_bits=max_bits, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("_id"))
-    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    key = F.struct(docs[id_col].isNull().alias("missing"), docs[id_col].alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"))
+    found = near_duplicates(docs.select(key.alias("key"), text.alias("text")), shingle=shingle, max_bits=max_bits, id_col="key")
+    lesser = (F.col("key") != F.col("component_id")).alias("lesser")
+    told = found.select(F.col("key").alias("_key"), lesser).groupBy("_key", "lesser").agg(F.count(F.lit(1)).alias("_n"))
+    told = stored(told.where("lesser or _n > 1"), "simhash")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    same = F.col("key") == F.col("_key")
+    out = rows.join(told, same, "left_anti").select("row.*")
+    again = told.where("not lesser")
+    if again.isEmpty():
+        return out
+    # Rows that agree in id and text, reduced to one before and after the shuffle.
+    return out.unionByName(rows.join(again, same, "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*"))

@@ -1,5 +1,6 @@
 """SimHash fingerprints and components against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -72,6 +73,38 @@ def test_keep_one_per_component(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted({w[2] for w in brute(rows)})
 
 
+def kept_of(rows):
+    """(id, text) kept: of each component the least by (id is null, id, SHA-256 of the text)."""
+    points = [(i, r[1]) for i, r in enumerate(rows)]
+    least = {}
+    for (i, text), (_, _, component) in zip(points, brute(points)):
+        key = (rows[i][0] is None, rows[i][0] or 0, hashlib.sha256((text or "").encode()).digest())
+        least[component] = min(least.get(component, (key, i)), (key, i))
+    return ordered((rows[i][0], rows[i][1] or "") for _, i in least.values())
+
+
+def test_keep_one_tells_texts_under_one_id_apart(spark):
+    near = near_copies(1)[0]
+    lone = " ".join(f"only{k}" for k in range(60))
+    rows = [(1, near), (3, near.upper()), (3, lone)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert table(got, "doc_id", "text") == ordered([rows[0], rows[2]]) == kept_of(rows)
+
+
+def test_keep_one_of_null_ids_and_repeated_rows(spark):
+    near, other = near_copies(30), near_copies(30, seed=3)
+    rows = [(None, t) for t in near + other] + [(7, near[0])] * 5 + [(9, near[1])] + [(None, other[0])] * 4 + [(2, None), (2, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ordered((r.doc_id, r.text or "") for r in got.collect()) == kept_of(rows)
+
+
+def test_keep_one_of_messy_rows(spark):
+    docs, rows = documents(spark, messy_texts() + near_copies(20))
+    got = simhash.keep_one(docs)
+    assert got.schema == docs.schema
+    assert ordered((r.doc_id, r.text or "") for r in got.collect()) == kept_of(rows)
+
+
 def test_links_join_random_points_as_all_pairs_do(spark):
     rnd = random.Random(4)
     points = {rnd.getrandbits(64) for _ in range(150)}
