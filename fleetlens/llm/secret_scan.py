@@ -2,13 +2,19 @@
 
 Only DataFrame functions. The patterns give the base spans. The method adds
 strings that no pattern names: runs of key characters are candidates, each
-with the narrowest encoding that holds it (hex, base32, base64). Two questions
-are asked of a candidate of n symbols over an alphabet of K.
+with the narrowest encoding that holds it (hex, base32, base64), and so are the
+pieces of a run between / _ and -. Two questions are asked of a candidate of n
+symbols over an alphabet of K.
 
 Is it unlike words and numbers? The chance that two of its symbols are equal
 (from the counts that chi-squared uses) is compared with that of ordinary
 text, whose letters are uneven; the sampling error shrinks with n, so the
-p-value knows the length. Of these p-values, discoveries are those that the
+p-value knows the length. Also, the candidate's chance as n random symbols is
+divided by that as ordinary candidates of the corpus: a chain of symbol classes
+(lower, upper, digit, other) with the symbols' shares in each class, counted
+over all runs of the encoding. Under that null the ratio is E or more with
+chance 1 / E at most, which is the second p-value. The two are combined by
+weighted Bonferroni. Of these p-values, discoveries are those that the
 Benjamini-Hochberg rule admits within each stratum (encoding and length class)
 over the whole corpus. P-values are rounded up to a grid, so a stratum's rule
 needs counts on a grid of fixed size only.
@@ -45,6 +51,13 @@ ALPHABETS = {
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, 0.0053),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.066, 0.0053),
 }
+#: What a run is divided into: pieces without / _ and -.
+PIECE = r"[A-Za-z0-9+]{20,}={0,2}"
+#: Symbol classes, and the steps from the start (^) or a class to a class.
+CLASSES = "lud+"
+CHAIN = [a + b for a in "^" + CLASSES for b in CLASSES]
+#: Part of the error that goes to the likelihood ratio; the rest goes to equal symbols.
+RATIO_SHARE = 0.1
 #: Lower ends of the length classes.
 LENGTHS = (20, 28, 40, 56, 80, 112, 160, 224)
 #: Share of false discoveries admitted, and the level of the randomness tests.
@@ -115,9 +128,15 @@ def _encoding(symbols: Column) -> Column:
     return narrow.otherwise("base64")
 
 
+def _class_of(symbol: str) -> str:
+    return "l" if symbol.islower() else "u" if symbol.isupper() else "d" if symbol.isdigit() else "+"
+
+
 def battery(candidates: DataFrame) -> DataFrame:
     """Test results of each candidate: adds encoding, n, p_text, p_uniform, p_runs, p_serial.
 
+    Also adds what the likelihood ratio needs: counts (of each symbol of the
+    alphabet) and chain (of each step in CHAIN).
     `candidates` has a column `found`. A statistic that does not exist (equal
     symbols only) counts as a rejection of randomness.
     """
@@ -141,7 +160,11 @@ def battery(candidates: DataFrame) -> DataFrame:
     places = F.transform(
         F.sequence(F.lit(1), F.col("n")), lambda i: (F.instr(F.col("alphabet"), F.substr(F.col("symbols"), i, F.lit(1))) - 1).cast("double")
     )
-    out = out.withColumn("squares", F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c)).withColumn("places", places)
+    whole = ALPHABETS["base64"][0]
+    marked = F.concat(F.lit("^"), F.translate(F.col("symbols"), whole, "".join(map(_class_of, whole))))
+    chain = F.array(*[F.regexp_count(marked, F.lit("(?=" + pair.replace("^", r"\^").replace("+", r"\+") + ")")) for pair in CHAIN])
+    out = out.withColumns({"counts": counts, "chain": chain})
+    out = out.withColumn("squares", F.aggregate("counts", F.lit(0.0), lambda acc, c: acc + c * c)).withColumn("places", places)
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
 
     # Equal pairs against ordinary text: mean q, variance of the pair count's rate.
@@ -178,6 +201,47 @@ def battery(candidates: DataFrame) -> DataFrame:
     return tested.drop("symbols", "alphabet", "k", "squares", "places", "high", "away")
 
 
+def ordinary(tested: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """Of each encoding, the log chances of its symbols within their class and of the steps in CHAIN.
+
+    From the sums over all rows of `tested`, a row per encoding; half a count
+    is added to each. Keys among the rows only make the null more like them.
+    """
+    most = max(len(alphabet) for alphabet, _, _ in ALPHABETS.values())
+    sums = [F.sum(F.get(name, F.lit(i))).alias(f"{name}_{i}") for name, size in (("counts", most), ("chain", len(CHAIN))) for i in range(size)]
+    found = {r.encoding: r for r in tested.groupBy("encoding").agg(*sums).collect()}
+    out = {}
+    for name, (alphabet, _, _) in ALPHABETS.items():
+        def count(column: str) -> float:
+            return (found[name][column] or 0) + 0.5 if name in found else 0.5
+
+        symbols = [count(f"counts_{i}") for i in range(len(alphabet))]
+        kinds = [_class_of(c) for c in alphabet]
+        sizes = {k: sum(n for n, kind in zip(symbols, kinds) if kind == k) for k in kinds}
+        steps = [count(f"chain_{i}") if b in sizes else 0.0 for i, (_, b) in enumerate(CHAIN)]
+        leaves = {a: sum(n for n, pair in zip(steps, CHAIN) if pair[0] == a) for a in "^" + CLASSES}
+        out[name] = (
+            [math.log(n / sizes[k]) for n, k in zip(symbols, kinds)],
+            [math.log(n / leaves[a]) if n else 0.0 for n, (a, _) in zip(steps, CHAIN)],
+        )
+    return out
+
+
+def combined(null: dict[str, tuple[list[float], list[float]]]) -> Column:
+    """The p-value that discoveries are made of, from a row of `battery` and the null of `ordinary`."""
+
+    def dot(counts: str, logs: list[float]) -> Column:
+        products = F.zip_with(counts, F.array(*map(F.lit, logs)), lambda c, v: c * v)
+        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+
+    ratio = F.lit(None).cast("double")
+    for name, (symbols, steps) in null.items():
+        random = -F.col("n") * math.log(len(ALPHABETS[name][0]))
+        ratio = F.when(F.col("encoding") == name, random - dot("counts", symbols) - dot("chain", steps)).otherwise(ratio)
+    p_ratio = F.exp(-F.least(F.greatest(ratio, F.lit(0.0)), F.lit(700.0)))
+    return F.least(F.col("p_text") / (1 - RATIO_SHARE), p_ratio / RATIO_SHARE, F.lit(1.0))
+
+
 def _stratum() -> Column:
     n = F.col("n")
     place = F.lit(0)
@@ -188,7 +252,7 @@ def _stratum() -> Column:
 
 def _step() -> Column:
     """The p-value's step on the grid, rounded towards larger p."""
-    return F.least(F.floor(-F.log10(F.greatest("p_text", F.lit(1e-300))) * STEPS), F.lit(LAST_STEP)).cast("int")
+    return F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * STEPS), F.lit(LAST_STEP)).cast("int")
 
 
 def discovery_steps(tested: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
@@ -211,7 +275,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
     Returns one row per row of `docs`: the id column and `spans`, an array of
     (start, end, kind, base), sorted by start and kind (the base kinds as
     listed, then `random`). Positions are code points, the end exclusive. Base
-    spans are all that the patterns give; a `random` span overlaps none.
+    spans are all that the patterns give; a `random` span overlaps none. It is a
+    whole run, or where that is not admitted a piece of it between / _ and -.
 
     Null and empty texts have no spans. Texts of any length are scanned whole.
     Repeated rows and null ids are kept as they come; other columns are not
@@ -231,12 +296,21 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
     # One pass over the texts; what follows reads spans only.
     rows = stored(rows.select(F.monotonically_increasing_id().alias("tag"), "id", "base", apart.alias("runs")), "secrets")
 
-    tested = battery(rows.select("tag", F.explode("runs").alias("r")).select("tag", "r.start", "r.end", "r.found"))
+    each = rows.select("tag", F.explode("runs").alias("r")).select("tag", F.col("r.start").alias("run"), "r.end", "r.found")
+    pieces = F.when(F.col("found").rlike("[/_-]"), spans(F.col("found"), PIECE, 0)).otherwise(_none())
+    whole = F.struct(F.col("run").alias("start"), "end", "found", F.lit(True).alias("whole"))
+    pieces = F.transform(
+        F.filter(pieces, lambda s: s["found"] != F.col("found")),
+        lambda s: F.struct((F.col("run") + s["start"]).alias("start"), (F.col("run") + s["end"]).alias("end"), s["found"].alias("found"), F.lit(False).alias("whole")),
+    )
+    each = each.select("tag", "run", F.explode(F.concat(F.array(whole), pieces)).alias("c")).select("tag", "run", "c.*")
     random = F.least("p_uniform", "p_runs", "p_serial") * 3 > RANDOM_LEVEL
-    tested = tested.withColumn("stratum", _stratum()).withColumn("step", _step())
-    tested = stored(tested.select("tag", "start", "end", "stratum", "step", random.alias("random")), "secrets")
+    tested = battery(each).withColumn("random", random).withColumn("stratum", _stratum())
+    tested = stored(tested.select("tag", "run", "start", "end", "whole", "encoding", "stratum", "n", "p_text", "random", "counts", "chain"), "secrets")
+    tested = tested.withColumn("p", combined(ordinary(tested.where("whole")))).withColumn("step", _step())
     admitted = tested.join(F.broadcast(discovery_steps(tested, rate)), "stratum")  # a row per stratum: at most 24
     found = admitted.where((F.col("step") >= F.col("least_step")) & F.col("random"))
+    found = found.withColumn("covered", F.max("whole").over(Window.partitionBy("tag", "run"))).where("whole or not covered")
     kind = F.struct("start", F.lit(len(BASE)).alias("kind"), "end")
     per_row = found.groupBy(F.col("tag").alias("_tag")).agg(F.collect_list(kind).alias("more"))
     joined = rows.join(per_row, F.col("tag") == F.col("_tag"), "left")

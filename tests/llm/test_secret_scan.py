@@ -95,6 +95,24 @@ def test_uniformity_holds_for_random_and_not_for_words(spark):
     assert sum(i in found for i in range(300, 600)) <= 3
 
 
+@pytest.mark.parametrize("share", [0.001, 0.01])
+def test_power_for_short_keys_among_ordinary_candidates(spark, share):
+    rnd = random.Random(12)
+    syllables = ["inter", "nation", "al", "iza", "tion", "con", "figu", "ra", "lo", "cal", "pre", "ment", "ing", "able", "Get", "Set", "v2", "2024"]
+    ordinary = ["".join(rnd.choice(syllables) + rnd.choice(["", "", "_", "-", "/"]) for _ in range(rnd.randint(8, 14))) for _ in range(8000)]
+    symbols = secret_scan.ALPHABETS["base64"][0][:62]
+    keys = ["".join(rnd.choice(symbols) for _ in range(n)) for n in (20, 24, 32, 40) for _ in range(int(2000 * share))]
+    paths = ["static/content/localization/" + "".join(rnd.choice(symbols) for _ in range(n)) for n in (20, 24, 32, 40)]
+    texts = keys + paths + ordinary
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secret_scan.scan(docs).collect()}
+    assert sum(found[i] == [(4, 4 + len(k))] for i, k in enumerate(keys)) >= 0.9 * len(keys)
+    for i, t in enumerate(paths, len(keys)):
+        assert any(s <= 32 and e == 4 + len(t) for s, e in found[i])
+    false = sum(bool(found[i]) for i in range(len(keys) + len(paths), len(texts)))
+    assert false <= 0.05 * (len(keys) + len(paths))
+
+
 def test_discovery_rule_equals_benjamini_hochberg(spark):
     rnd = random.Random(8)
     rows = [(f"s{s}", rnd.choice([0, 5, 20, 40, 60, 100])) for s in range(4) for _ in range(50 * s + 1)]
