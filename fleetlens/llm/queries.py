@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import arc_to_warc, bpe_codec, curriculum, html_layout, quality, radix_dedup, secret_scan, simhash, token_counts, url_rules
+from fleetlens.llm import (
+    arc_to_warc,
+    bpe_codec,
+    conversation_repair,
+    curriculum,
+    html_layout,
+    phrase_index,
+    quality,
+    radix_dedup,
+    ranked_search,
+    secret_scan,
+    simhash,
+    token_counts,
+    url_rules,
+)
 from fleetlens.llm.scratch import stored
 from fleetlens.llm.ship import ship_code
 
@@ -200,6 +214,65 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    items = F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256)
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, w[s:s + 9] AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+grams AS (
+  SELECT rid, s, n, w[s:s + n - 1] AS g
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s
+    FROM d JOIN (SELECT DISTINCT len(g) AS n FROM win) ON len(w) >= n)),
+m AS (SELECT rid, s, n, item_id FROM grams JOIN win USING (g)),
+hit AS (
+  SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM m)) GROUP BY rid),
+found AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, coalesce(item_id::VARCHAR, '') AS item FROM m) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS words FROM documents),
+s AS (SELECT count(*) FILTER (len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS total FROM d),
+i AS (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS words FROM benchmark),
+q AS (SELECT item, item_id, t, count(*) AS r FROM (SELECT item, item_id, unnest(words) AS t FROM i) GROUP BY ALL),
+f AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(words) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*) AS df FROM f GROUP BY t), s),
+m AS (SELECT rid, doc_id, 100 - 25 + (25 * len(words) * n_docs) // total AS m FROM d, s WHERE len(words) > 0),
+score AS (
+  SELECT item, item_id, rid, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (rid) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, copies_col="copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_bpe_codec,
@@ -212,6 +285,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_ledger,
         op9_curriculum_mix,
         op10_html_layout,
+        op11_phrase_index,
+        op12_bag_search,
+        op13_conversation_repair,
     )
     return {f.__name__: f for f in named}
 
@@ -225,4 +301,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_rules": OP5_SQL,
         "op8_quality_ledger": OP8_SQL,
         "op9_curriculum_mix": OP9_SQL,
+        "op11_phrase_index": OP11_SQL,
+        "op12_bag_search": OP12_SQL,
     }

@@ -28,14 +28,14 @@ def frame(df):
 
 
 def test_every_query_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in NAMES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in NAMES] == list(range(1, 14))
     assert set(NAMES) | {"pipeline"} <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF0001}/{t}.parquet'")
     return con
 
