@@ -66,12 +66,13 @@ class PhraseIndex:
 
     def __init__(self, docs: DataFrame, wanted: DataFrame, *, text_col: str = "text", columns: list[str] | None = None):
         numbered = wanted.select("phrase").distinct().select(F.monotonically_increasing_id().alias("phrase_id"), "phrase")
-        numbered = stored(numbered, "phrases")
-        spread = numbered.select("phrase_id", F.size("phrase").alias("length"), F.posexplode("phrase").alias("offset", "word"))
+        #: (phrase_id, phrase)
+        self.phrases = stored(numbered, "phrases")
+        spread = self.phrases.select("phrase_id", F.size("phrase").alias("length"), F.posexplode("phrase").alias("offset", "word"))
         terms = stored(spread.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
         self.n_terms = terms.count()
         self.postings = self._postings(docs, terms, text_col, columns or docs.columns)
-        self.items = wanted.join(numbered, "phrase").select("phrase_id", "item_id")
+        self.items = wanted.join(self.phrases, "phrase").select("phrase_id", "item_id")
         self.ranked = stored(self._ranked(spread.join(terms, "word")), "ranked")
         self.n_ranked = self.ranked.count()
 
