@@ -88,4 +88,7 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    # A column that fits stays as it is: an alias would make two readings of one
+    # table look different, and their shuffles would not be shared.
+    fits = {f.name for f in schema.fields if df.schema[f.name].dataType == f.dataType}
+    return df.select(*[F.col(f.name) if f.name in fits else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -55,11 +55,49 @@ def test_dense_rank_equals_window(spark, values, descending, parts):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_crowded_cells_equal_window(spark, monkeypatch, values, descending):
+    # Null and one value hold half of the rows; most cells count as crowded, some not.
+    monkeypatch.setattr(ranking, "CELL_ROWS", 9)
+    hot = values.withColumn("v", F.when(F.col("id") % 3 == 0, F.lit(D("2.50"))).when(F.col("id") % 7 == 0, None).otherwise(F.col("v")))
+    for part_by in ([], ["grp"]):
+        want = rank_window(hot, "v", "rk", part_by, descending)
+        got = dense_rank(hot, "v", "rk", part_by, descending)
+        assert _sorted(got, ["id", "rk"]) == _sorted(want, ["id", "rk"])
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("slots", [1, 8])
+@pytest.mark.parametrize("top", [1, 2, 5, 90])
+def test_top_equals_window_whatever_the_slots(spark, monkeypatch, values, slots, top, descending):
+    monkeypatch.setattr(ranking, "SLOTS_PER_PLACE", slots)
+    for part_by in ([], ["grp"]):
+        want = rank_window(values, "v", "rk", part_by, descending).where(F.col("rk") <= top)
+        got = top_dense_rank(values, "v", "rk", top, part_by, descending)
+        assert _sorted(got, ["id", "rk"]) == _sorted(want, ["id", "rk"])
+
+
+def test_empty_tables_have_no_ranks(spark, values):
+    empty = values.limit(0)
+    assert dense_rank(empty, "v", "rk", ["grp"]).collect() == []
+    assert top_dense_rank(empty, "v", "rk", 3).collect() == []
+    assert first_ntile(empty, "v", "id", 10, "b").collect() == []
+
+
+@pytest.mark.parametrize("value", [None, D("1.00")])
+def test_first_ntile_of_one_value_and_a_null_id(spark, value):
+    df = spark.createDataFrame([(i or None, value) for i in range(35)], "id long, v decimal(10,2)")
+    order = [sort_key("v", True), F.col("id").asc_nulls_last()]
+    for buckets in (1, 10):
+        want = df.withColumn("b", F.ntile(buckets).over(Window.orderBy(*order))).where("b = 1")
+        assert _sorted(first_ntile(df, "v", "id", buckets, "b"), ["id", "b"]) == _sorted(want, ["id", "b"])
+
+
 def test_value_buckets_never_fall(spark):
     rng = random.Random(3)
     raw = [rng.uniform(-1, 1) * 10 ** rng.randint(-4, 17) for _ in range(3000)]
     raw = [D(str(round(v, 2))) for v in sorted(raw)]
-    df = spark.createDataFrame([(v,) for v in raw], "v decimal(22,2)").select("v", value_bucket(F.col("v")).alias("b"))
+    df = spark.createDataFrame([(v,) for v in raw], "v decimal(22,2)").select("v", value_bucket("v").alias("b"))
     found = [r.b for r in sorted(df.collect(), key=lambda r: r.v)]
     assert found == sorted(found)
 
