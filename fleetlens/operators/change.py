@@ -82,16 +82,23 @@ def consecutive_rise(
     time_col: str,
     measure: str,
     prev_names: Sequence[str],
-    since: Column,
+    months: int,
 ) -> DataFrame:
-    """Rows from ``since`` on whose measure rose over each of the last periods.
+    """Rows whose measure rose over each of the last periods, from ``months`` before the latest period on.
 
     ``prev_names[i]`` receives ``lag(measure, i + 1)``. The lags are taken over
     the entity's full history *before* the recency filter, so the first kept
-    month still sees the months before ``since``.
+    month still sees the months before.
+
+    The latest period is that of ``df`` itself. It is the time of the greatest
+    row that begins with the time: asking for whole rows keeps the plan below
+    the same as that of the rows, so both read one shuffle of ``df``.
     """
     lags = {name: (measure, i + 1) for i, name in enumerate(prev_names)}
     out = with_previous(df, keys, time_col, lags)
+    rest = [c for c in df.columns if c != time_col]
+    greatest = F.max(F.struct(time_col, *rest))[time_col]
+    since = df.agg(F.add_months(greatest, -months)).scalar()
     chain = [measure, *prev_names]
     cond = F.col(time_col) >= since
     for newer, older in zip(chain, chain[1:]):

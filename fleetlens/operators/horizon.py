@@ -30,9 +30,11 @@ def in_latest_period(df: DataFrame, date_col: str, unit: str, horizon_df: DataFr
     return df.where(in_period(date_col, start, unit))
 
 
-def since_months_before_latest(df: DataFrame, date_col: str, months: int) -> DataFrame:
-    """Rows dated on or after ``max(date_col) - months`` (inclusive, month-end clamped)."""
-    start = df.agg(F.add_months(F.max(date_col), -months)).scalar()
+def since_months_before_latest(
+    df: DataFrame, date_col: str, months: int, horizon_df: DataFrame | None = None
+) -> DataFrame:
+    """Rows dated on or after ``max(date_col) - months`` of ``horizon_df`` (default ``df``; inclusive, month-end clamped)."""
+    start = (horizon_df if horizon_df is not None else df).agg(F.add_months(F.max(date_col), -months)).scalar()
     return df.where(F.col(date_col) >= start)
 
 

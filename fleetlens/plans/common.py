@@ -12,9 +12,11 @@ def trips_with_loads(t: Tables, *trip_cols: str, how: str = "inner", load_cols=(
     """Trips joined to their load on ``load_id``; a load's columns repeat once per trip.
 
     Only the named columns are selected on each side before the join, so the
-    scans read just those columns and the shuffle carries nothing else.
+    scans read just those columns and the shuffle carries nothing else. Trips
+    come in the layout for loads where there is one; bucketed like the loads,
+    the join then needs no shuffle.
     """
-    trips = t.trips.select("load_id", *trip_cols)
+    trips = t.for_loads().select("load_id", *trip_cols)
     loads = t.loads.select("load_id", *load_cols)
     return trips.join(loads, "load_id", how)
 

@@ -127,7 +127,7 @@ def customer_revenue_growth(t: Tables) -> DataFrame:
 @report("customer_top_year", 45, "Top customer by revenue in the latest year")
 def customer_top_year(t: Tables) -> DataFrame:
     # The latest year is taken from all loads and applied before aggregation.
-    recent = in_latest_period(t.loads, "load_date", "year")
+    recent = in_latest_period(t.loads, "load_date", "year", t.dated("loads"))
     yearly = customer_revenue(t, "year", with_name=True, loads=recent)
     top = top_dense_rank(yearly, "revenue", "yearly_rank", 1)
     return top.select(

@@ -146,7 +146,7 @@ def driver_revenue_mom(t: Tables) -> DataFrame:
 def driver_best_mpg_latest_month(t: Tables) -> DataFrame:
     # The latest month is found first and applied to the scan, so only that
     # month's trips are aggregated.
-    recent = in_latest_period(t.trips, "dispatch_date", "month")
+    recent = in_latest_period(t.trips, "dispatch_date", "month", t.dated("trips"))
     monthly = recent.groupBy("driver_id", period("dispatch_date", "month").alias("month")).agg(
         mean("average_mpg", 2, num_type=SMALL_AMOUNT).alias("avg_mpg")
     )

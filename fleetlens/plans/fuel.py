@@ -31,7 +31,7 @@ def _route_mpg_sums(t: Tables, by_month: bool = False) -> DataFrame:
     """
     if not by_month:
         per_load = (
-            t.trips.where(F.col("load_id").isNotNull())
+            t.for_loads().where(F.col("load_id").isNotNull())
             .groupBy("load_id")
             .agg(F.sum("average_mpg").alias("s"), F.count("average_mpg").alias("n"))
         )

@@ -71,12 +71,12 @@ def truck_maintenance_mom(t: Tables) -> DataFrame:
 
 @report("maintenance_horizon", 28, "Latest maintenance date")
 def maintenance_horizon(t: Tables) -> DataFrame:
-    return t.maintenance_records.agg(F.max("maintenance_date").alias("max_maintenance_date"))
+    return t.dated("maintenance_records").agg(F.max("maintenance_date").alias("max_maintenance_date"))
 
 
 @report("truck_top5_downtime_6m", 29, "Top 5 trucks by downtime in the last 6 months")
 def truck_top5_downtime_6m(t: Tables) -> DataFrame:
-    recent = since_months_before_latest(t.maintenance_records, "maintenance_date", 6)
+    recent = since_months_before_latest(t.maintenance_records, "maintenance_date", 6, t.dated("maintenance_records"))
     per_truck = recent.groupBy("truck_id").agg(F.sum("downtime_hours").alias("raw_downtime"))
     # Ranked on the unrounded sum, reported rounded.
     top = top_dense_rank(per_truck, "raw_downtime", "downtime_rank", 5)
@@ -129,7 +129,7 @@ def truck_maintenance_vs_revenue(t: Tables) -> DataFrame:
 @report("truck_zero_downtime_quarter", 32, "Trucks with no downtime in the latest quarter")
 def truck_zero_downtime_quarter(t: Tables) -> DataFrame:
     m = t.maintenance_records
-    start = latest_period_start(m, "maintenance_date", "quarter")
+    start = latest_period_start(t.dated("maintenance_records"), "maintenance_date", "quarter")
     quarter_downtime = (
         m.where(in_period("maintenance_date", start, "quarter"))
         .groupBy("truck_id")

@@ -13,7 +13,6 @@ from fleetlens.operators import (
     global_totals,
     holders_of_max,
     latest_period_start,
-    latest_value,
     period_delta,
     sort_key,
     top_dense_rank,
@@ -126,7 +125,7 @@ def route_rising_fuel(t: Tables) -> DataFrame:
     monthly = route_fuel(t, "month")
     rising = consecutive_rise(
         monthly, ["route_id"], "month", "fuel_cost",
-        ["prev_month_cost", "prev_2_month_cost"], F.add_months(latest_value(monthly, "month"), -2),
+        ["prev_month_cost", "prev_2_month_cost"], months=2,
     )
     out = rising.select("route_id", "month", "fuel_cost", "prev_month_cost", "prev_2_month_cost")
     return out.orderBy(F.col("route_id").asc_nulls_last(), F.col("month").asc_nulls_last())
@@ -151,7 +150,7 @@ def route_profit_vs_company(t: Tables) -> DataFrame:
 
 @report("route_top_revenue_latest_month", 16, "Route(s) with the highest revenue in the latest month")
 def route_top_revenue_latest_month(t: Tables) -> DataFrame:
-    start = latest_period_start(t.trips, "dispatch_date", "month")
+    start = latest_period_start(t.dated("trips"), "dispatch_date", "month")
     recent = t.trips.where(in_period("dispatch_date", start, "month")).select(
         "load_id", period("dispatch_date", "month").alias("month")
     )

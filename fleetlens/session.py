@@ -14,7 +14,15 @@ REPORT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # A join of a large table with the few keys of one period filters the large
+    # side by a Bloom filter before its shuffle, whatever the size of the table
+    # that the period is cut from. The filter itself holds 8 MB at most.
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1p",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    # The latest date of a table can come from file footers (``read_tables``).
+    "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +13,13 @@ from fleetlens.sources.schema import SCHEMAS, TABLE_NAMES, conform
 
 @dataclass(frozen=True)
 class Tables:
-    """The eight logical tables a report may read (lazy DataFrames)."""
+    """The eight logical tables a report may read (lazy DataFrames).
+
+    ``trips_by_load`` is a second copy of the trips, laid out for joins on
+    ``load_id``; ``dates`` holds readings of a table that serve for its latest
+    date only. Both are optional: ``for_loads`` and ``dated`` fall back to the
+    tables themselves.
+    """
 
     trips: DataFrame
     delivery_events: DataFrame
@@ -22,13 +29,23 @@ class Tables:
     trucks: DataFrame
     customers: DataFrame
     safety_incidents: DataFrame
+    trips_by_load: DataFrame | None = None
+    dates: dict[str, DataFrame] | None = None
 
     @classmethod
     def from_dict(cls, frames: dict[str, DataFrame]) -> "Tables":
         return cls(**{name: conform(frames[name], name) for name in TABLE_NAMES})
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in TABLE_NAMES}
+
+    def for_loads(self) -> DataFrame:
+        """The trips in the layout that suits a join on ``load_id``."""
+        return self.trips if self.trips_by_load is None else self.trips_by_load
+
+    def dated(self, name: str) -> DataFrame:
+        """Table ``name`` as its latest date is best read from."""
+        return (self.dates or {}).get(name, getattr(self, name))
 
     def register_views(self) -> None:
         """Expose the tables as session temp views under their logical names.
@@ -45,7 +62,7 @@ def load_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(**derive_tables(spark, sf_dir))
 
 
-def read_tables(spark: SparkSession, path: str) -> Tables:
+def read_tables(spark: SparkSession, path: str, *, dates_from_statistics: bool = False) -> Tables:
     """Read stored logical tables ``<path>/<table>`` with their declared schemas.
 
     The schema is given to the reader, so no inference pass runs and only the
@@ -53,14 +70,32 @@ def read_tables(spark: SparkSession, path: str) -> Tables:
     partitioned by their date column (``write_tables(partition_by_date=True)``)
     read the same way: the declared schema names the partition column and
     fixes its type.
+
+    ``dates_from_statistics=True`` takes the latest date of each dated table
+    from the statistics in the file footers, so that no row is read for it.
+    Every row group must then hold a date (files may be empty, tables may be,
+    and single dates may be null): Spark refuses to answer for a row group
+    whose dates are all null.
     """
     base = path.rstrip("/")
-    return Tables(
-        **{
-            name: conform(spark.read.schema(SCHEMAS[name]).parquet(f"{base}/{name}"), name)
-            for name in TABLE_NAMES
-        }
-    )
+    frames = {name: conform(spark.read.schema(SCHEMAS[name]).parquet(f"{base}/{name}"), name) for name in TABLE_NAMES}
+    dates = None
+    if dates_from_statistics:
+        with _aggregating_reader(spark):
+            dates = {name: spark.read.schema(SCHEMAS[name]).parquet(f"{base}/{name}").select(col) for name, col in DATE_COLUMNS.items()}
+    return Tables(**frames, dates=dates)
+
+
+@contextmanager
+def _aggregating_reader(spark: SparkSession):
+    """Parquet readings begun inside go through the reader that can answer a max from footers."""
+    key = "spark.sql.sources.useV1SourceList"
+    old = spark.conf.get(key)
+    spark.conf.set(key, ",".join(name for name in old.split(",") if name.strip() != "parquet"))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 # The date column of each fact table, used as its partition column when the
@@ -112,35 +147,52 @@ def write_tables(
         df.write.mode(mode).parquet(f"{base}/{name}")
 
 
-# Bucket column of the tables that are joined on trip ids. Bucketing them alike
-# (same column, same bucket count) lets the trip joins and the per-trip
-# pre-aggregates run without a shuffle.
-BUCKET_KEYS = {"trips": "trip_id", "fuel_purchases": "trip_id", "delivery_events": "trip_id"}
+# Bucket column of the tables that are joined on trip ids or load ids. Bucketing
+# them alike (same column, same bucket count) lets these joins and the
+# pre-aggregates on the same key run without a shuffle. Trips join on both, so
+# they are stored in both layouts.
+BUCKET_KEYS = {
+    "trips": "trip_id",
+    "fuel_purchases": "trip_id",
+    "delivery_events": "trip_id",
+    "loads": "load_id",
+    "trips_by_load": "load_id",
+}
 
 
 def save_bucketed_tables(
     tables: Tables, database: str, buckets: int, location: str | None = None
 ) -> None:
-    """Save the logical tables as catalog tables, trip-keyed facts bucketed by trip id.
+    """Save the logical tables as catalog tables, the facts bucketed by their join key.
 
     Bucketing needs a catalog: the tables are written with ``saveAsTable`` into
     ``database`` (created at ``location`` if given). ``trips``,
     ``fuel_purchases`` and ``delivery_events`` are bucketed and sorted by
-    ``trip_id`` into ``buckets`` buckets; the others are plain tables.
+    ``trip_id``, ``loads`` and a second copy of the trips (``trips_by_load``)
+    by ``load_id``, all into ``buckets`` buckets; the others are plain tables.
     """
     spark = tables.trips.sparkSession
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
-    for name, df in tables.as_dict().items():
+    for name, df in {**tables.as_dict(), "trips_by_load": tables.trips}.items():
         writer = df.write.mode("overwrite").format("parquet")
         if name in BUCKET_KEYS:
-            writer = writer.bucketBy(buckets, BUCKET_KEYS[name]).sortBy(BUCKET_KEYS[name])
+            # One shuffle by the key first, so that each bucket is one file and its sort order holds.
+            key = BUCKET_KEYS[name]
+            writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+            writer = writer.bucketBy(buckets, key).sortBy(key)
         writer.saveAsTable(f"{database}.{name}")
 
 
 def read_catalog_tables(spark: SparkSession, database: str) -> Tables:
-    """The logical tables from catalog tables ``<database>.<table>`` (bucketing kept)."""
-    return Tables(**{name: conform(spark.table(f"{database}.{name}"), name) for name in TABLE_NAMES})
+    """The logical tables from catalog tables ``<database>.<table>`` (bucketing kept).
+
+    A database without the second layout of the trips serves as well.
+    """
+    frames = {name: conform(spark.table(f"{database}.{name}"), name) for name in TABLE_NAMES}
+    second = f"{database}.trips_by_load"
+    by_load = conform(spark.table(second), "trips") if spark.catalog.tableExists(second) else None
+    return Tables(**frames, trips_by_load=by_load)
 
 
 __all__ = [

@@ -180,3 +180,100 @@ def test_bucketed_trip_tables_join_without_shuffle(spark):
             )
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bucketed_load_tables_join_without_shuffle(spark):
+    from fleetlens.sources import read_catalog_tables, save_bucketed_tables
+
+    location = tempfile.mkdtemp(prefix="fleetlens-byload-")
+    save_bucketed_tables(spark_tables(spark), "fleet_by_load", 4, location)
+    bucketed = read_catalog_tables(spark, "fleet_by_load")
+    plain = spark_tables(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key in ("driver_revenue_per_mile", "driver_revenue_mom", "truck_revenue", "truck_revenue_monthly",
+                    "truck_maintenance_vs_revenue", "route_mpg", "route_mpg_mom", "route_rolling_mpg"):
+            df = R[key].build(bucketed)
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in text and "hashpartitioning(load_id" not in text, text
+            assert sorted(map(tuple, decimals_to_double(df).collect()), key=repr) == sorted(
+                map(tuple, decimals_to_double(R[key].build(plain)).collect()), key=repr
+            )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+HORIZON_REPORTS = ["driver_best_mpg_latest_month", "route_top_revenue_latest_month", "maintenance_horizon",
+                   "truck_top5_downtime_6m", "truck_zero_downtime_quarter", "customer_top_year"]
+
+
+@pytest.mark.parametrize("key", HORIZON_REPORTS)
+def test_horizon_comes_from_file_statistics(spark, key):
+    # Some dates are null, and the empty tables have no latest date.
+    path = tempfile.mkdtemp(prefix="fleetlens-statistics-")
+    full = spark_tables(spark)
+    write_tables(full, os.path.join(path, "full"))
+    write_tables(type(full)(**{n: df.limit(0) for n, df in full.as_dict().items()}), os.path.join(path, "empty"))
+    for name in ("full", "empty"):
+        told = read_tables(spark, os.path.join(path, name), dates_from_statistics=True)
+        plain = read_tables(spark, os.path.join(path, name))
+        df = R[key].build(told)
+        text = plan_text(df)
+        assert "PushedAggregation: [MAX(" in text, text
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, R[key].build(plain).collect()), key=repr)
+
+
+def _records_by_exchange(node, out):
+    """{partitioning: records written} of the shuffles of an executed plan."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _records_by_exchange(node.executedPlan(), out)
+    if name.endswith("QueryStageExec"):
+        return _records_by_exchange(node.plan(), out)
+    if name == "ShuffleExchangeExec":
+        key = (str(node.outputPartitioning().toString()).split("#")[0], node.child().toString().count("route_id") > 0)
+        out[key] = out.get(key, 0) + node.metrics().apply("shuffleRecordsWritten").value()
+    children = node.children().iterator()
+    while children.hasNext():
+        _records_by_exchange(children.next(), out)
+    return out
+
+
+def test_latest_month_filters_the_loads_before_their_shuffle(spark, fixture_tables):
+    path = os.path.join(tempfile.mkdtemp(prefix="fleetlens-bloom-"), "t")
+    write_tables(fixture_tables, path)
+    tables = read_tables(spark, path)
+    key, scan = "route_top_revenue_latest_month", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    n_loads = tables.loads.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    usual = sorted(map(tuple, R[key].build(tables).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(scan, "0")  # as a fact table at scale, which is above the default
+    try:
+        df = R[key].build(tables)
+        assert sorted(map(tuple, df.collect())) == usual
+        plan = df._jdf.queryExecution().executedPlan()
+        assert "might_contain" in plan.toString()
+        written = _records_by_exchange(plan, {})
+        loads = [n for (part, has_route), n in written.items() if part.startswith("hashpartitioning(load_id") and has_route]
+        assert loads and 0 < sum(loads) < n_loads / 4, (written, n_loads)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset(scan)
+
+
+def test_rising_routes_read_one_shuffle_of_the_monthly_fuel(spark, stored_tables):
+    df = R["route_rising_fuel"].build(stored_tables)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0], plan
+
+
+@pytest.mark.parametrize("key", ["driver_monthly_on_time_rank", "truck_revenue_rank_monthly", "route_mpg_rank"])
+def test_ranked_rows_are_dealt_out_once(spark, stored_tables, key):
+    df = R[key].build(stored_tables)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [ln for ln in plan.splitlines() if " Exchange hashpartitioning(_cell" in ln and "ReusedExchange" not in ln]
+    assert len(dealt) == 1, plan
