@@ -17,6 +17,7 @@ from fleetlens.operators.horizon import (
 )
 from fleetlens.operators.ranking import (
     dense_rank,
+    dense_rank_of_few,
     first_ntile,
     median,
     sort_key,
@@ -30,6 +31,7 @@ __all__ = [
     "comparison_label",
     "consecutive_rise",
     "dense_rank",
+    "dense_rank_of_few",
     "first_ntile",
     "global_totals",
     "holders_of_max",

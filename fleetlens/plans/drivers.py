@@ -9,7 +9,7 @@ from fleetlens.functions import COUNT, SMALL_AMOUNT, mean, period, ratio
 from fleetlens.functions.exact import fixed_quotient
 from fleetlens.operators import (
     attach_one_row,
-    dense_rank,
+    dense_rank_of_few,
     first_ntile,
     global_totals,
     in_latest_period,
@@ -87,7 +87,8 @@ def driver_monthly_on_time_rank(t: Tables) -> DataFrame:
         F.count(F.when(F.col("on_time_flag"), F.lit(1))).alias("on_time_deliveries"),
     ).withColumn("on_time_delivery_rate", _on_time_rate())
     # All drivers of a month form one rank group, which grows with the fleet.
-    ranked = dense_rank(monthly, "on_time_delivery_rate", "monthly_rank", ["month"])
+    # Their rates have two digits, so few of them differ.
+    ranked = dense_rank_of_few(monthly, "on_time_delivery_rate", "monthly_rank", ["month"])
     return ranked.orderBy(F.col("month").asc_nulls_last(), "monthly_rank", F.col("driver_id").asc_nulls_last())
 
 

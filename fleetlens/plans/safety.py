@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import COUNT, month_label, period, ratio
-from fleetlens.operators import dense_rank, period_delta, present, sort_key
+from fleetlens.operators import dense_rank_of_few, period_delta, present, sort_key
 from fleetlens.plans.registry import report
 from fleetlens.sources import Tables
 
@@ -63,8 +63,8 @@ def incident_mom(t: Tables) -> DataFrame:
 
 @report("driver_incident_rank", 49, "Drivers ranked by incident count")
 def driver_incident_rank(t: Tables) -> DataFrame:
-    # Every driver is in one rank group.
-    ranked = dense_rank(_driver_incidents(t), "total_incidents", "incident_frequency_rank")
+    # Every driver is in one rank group; counts that add up to all incidents are few.
+    ranked = dense_rank_of_few(_driver_incidents(t), "total_incidents", "incident_frequency_rank")
     return ranked.orderBy(F.col("total_incidents").desc(), F.col("driver_id").asc_nulls_last())
 
 
