@@ -62,14 +62,9 @@ FROM t
 
 def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit = 512
-    counted = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
-    return counted.select(
-        "doc_id",
-        "n_bytes",
-        "n_tokens",
-        (F.col("n_tokens") > limit).alias("over_limit"),
-        token_counts.fitting_chars(F.lit(limit)).alias("chars_in_limit"),
-    )
+    counted = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), budget=limit, keep_table=False)
+    over = (F.col("n_tokens") > limit).alias("over_limit")
+    return counted.select("doc_id", "n_bytes", "n_tokens", over, F.col("chars_in_budget").alias("chars_in_limit"))
 
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

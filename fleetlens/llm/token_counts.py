@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import ahocorasick
 import numpy as np
@@ -31,9 +32,11 @@ from fleetlens.llm.bpe_model import CHUNK, WHITE_SPACE, BpeModel, broadcast_mode
 
 #: Pairs of tokens whose compatibility a worker remembers.
 MEMO_PAIRS = 1_000_000
+OWN = -1
 GAP = re.compile(f"[{WHITE_SPACE}]*")
 #: Contractions are words of their own only when whole.
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
+_ONE = array("i", [1]).tobytes()
 
 
 class PrefixCounter:
@@ -44,31 +47,75 @@ class PrefixCounter:
         for token, i in model.vocab.items():
             self._tokens.add_word(token.decode("latin-1"), (len(token), i))
         self._tokens.make_automaton()
-        self._pairs: dict[int, bool] = {}
+        # Per token the tokens known to stand behind it (or not); OWN names the token itself.
+        self._behind = [{OWN: i} for i in range(len(model.token_bytes))]
+        self._known = 0
         self._words: dict[str, list[int]] = {}
         self._pieces: dict[str, bytes] = {}
-
-    def _compatible(self, left: int, right: int) -> bool:
-        if len(self._pairs) > MEMO_PAIRS:
-            self._pairs.clear()
-        table = self.model.token_bytes
-        known = self._pairs[left << 32 | right] = self.model.merge(table[left] + table[right]) == [left, right]
-        return known
+        # The merge that makes each token: its rank (-1 for a byte) and its two parts.
+        self._rank = [-1] * len(model.token_bytes)
+        self._left, self._right = list(self._rank), list(self._rank)
+        for pair, (rank, made) in model.merges.items():
+            self._rank[made], self._left[made], self._right[made] = rank, pair >> 32, pair & 0xFFFFFFFF
+        # With two ways to make a token, the parts do not follow from it.
+        self._one_way = len({made for _, made in model.merges.values()}) == len(model.merges)
+
+    def _compatible(self, behind: dict[int, int], right: int) -> bool:
+        left = behind[OWN]
+        if self._known >= MEMO_PAIRS:
+            for i, pairs in enumerate(self._behind):
+                pairs.clear()
+                pairs[OWN] = i
+            self._known = 0
+        if self._one_way:
+            fits = self._never_merge(left, right)
+        else:
+            table = self.model.token_bytes
+            fits = self.model.merge(table[left] + table[right]) == [left, right]
+        self._known += 1
+        behind[right] = fits
+        return fits
+
+    def _never_merge(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the border of two tokens while they are made.
+
+        The merges that made them are undone from the last on. Between two of
+        them one token stands on each side of the border; that pair must not
+        merge before the later of the two merges undone. Of equal ranks the
+        left merge comes first.
+        """
+        merges, rank = self.model.merges, self._rank
+        until = len(merges)
+        while True:
+            pair = merges.get(left << 32 | right)
+            if pair is not None and pair[0] < until:
+                return False
+            a, b = rank[left], rank[right]
+            if a > b:
+                until, left = a, self._right[left]
+            elif b < 0:
+                return True
+            else:
+                until, right = b + 1, self._left[right]
 
     def _byte_counts(self, word: bytes) -> list[int]:
         """Token count of every prefix of one word, in bytes."""
-        last, count, pairs = [-1], [0], self._pairs
+        last, count, behind = [None], [0], self._behind
+        wanted = 0  # the next byte whose prefix has no last token yet
         for at, (size, token) in self._tokens.iter(word.decode("latin-1")):
-            if len(last) == at + 1:  # no token yet for the prefix that ends here
-                start = at + 1 - size
-                if start:
-                    fits = pairs.get(last[start] << 32 | token)
-                    if fits is None:
-                        fits = self._compatible(last[start], token)
-                    if not fits:
-                        continue
-                last.append(token)
-                count.append(count[start] + 1)
+            if at != wanted:
+                continue
+            start = wanted + 1 - size
+            if start:
+                pairs = last[start]
+                fits = pairs.get(token)
+                if fits is None:
+                    fits = self._compatible(pairs, token)
+                if not fits:
+                    continue
+            wanted += 1
+            last.append(behind[token])
+            count.append(count[start] + 1)
         return count
 
     def word_counts(self, word: str) -> list[int]:
@@ -118,7 +165,18 @@ class PrefixCounter:
     def _piece(self, piece: str) -> bytes:
         if len(self._pieces) > MEMO_WORDS:
             self._pieces.clear()
-        known = self._pieces[piece] = self.deltas(f" {piece}")
+        if piece.isascii() and piece[:-1].isalpha():
+            # A space and letters are one word; a full stop or comma behind them is another, of one token.
+            if piece.isalpha():
+                counts = self._byte_counts(b" " + piece.encode())
+                known = array("i", map(sub, counts[1:], counts)).tobytes()
+            elif piece[-1] in ".,":
+                known = (self._pieces.get(piece[:-1]) or self._piece(piece[:-1])) + _ONE
+            else:
+                known = self.deltas(f" {piece}")
+        else:
+            known = self.deltas(f" {piece}")
+        self._pieces[piece] = known
         return known
 
     def table(self, text: str) -> np.ndarray:
@@ -152,13 +210,17 @@ def _packed(table: np.ndarray) -> tuple[bytes, int]:
     raise OverflowError("token count changes by more than 2^31 at one character")
 
 
-def prefix_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefix_counts(
+    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None, keep_table: bool = True
+) -> DataFrame:
     """The token count at every prefix of every whole text.
 
     Returns one row per row of `docs`: the id column, n_bytes (UTF-8), n_tokens
     (of the whole text), prefix_table (binary, one signed little-endian integer
     of prefix_width bytes per character). ``tokens_at`` and ``fitting_chars``
-    answer questions from the table.
+    answer questions from the table. With a ``budget`` the column
+    chars_in_budget holds what ``fitting_chars`` gives for it, found while the
+    table is at hand; ``keep_table=False`` then leaves the table out (null).
 
     Null and empty texts have an empty table and no tokens. Special strings in
     a text count as the library counts them. Repeated rows, ties and null ids
@@ -172,7 +234,8 @@ def prefix_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tables = [counter.table(t) for t in texts]
-            packed = [_packed(t) for t in tables]
+            packed = [_packed(t) if keep_table else (None, None) for t in tables]
+            fits = [None if budget is None else _fitting(np.cumsum(t, dtype=np.int64), budget) for t in tables]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column(0),
@@ -180,13 +243,20 @@ def prefix_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
                     "n_tokens": pa.array([int(t.sum(dtype=np.int64)) for t in tables], pa.int64()),
                     "prefix_table": pa.array([p for p, _ in packed], pa.binary()),
                     "prefix_width": pa.array([w for _, w in packed], pa.int32()),
+                    "chars_in_budget": pa.array(fits, pa.int64()),
                 }
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_tokens long, prefix_table binary, prefix_width int"
+    schema = f"id {kind}, n_bytes long, n_tokens long, prefix_table binary, prefix_width int, chars_in_budget long"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    counted = source.mapInArrow(run, schema)
+    return (counted if budget is not None else counted.drop("chars_in_budget")).withColumnRenamed("id", id_col)
+
+
+def _fitting(counts: np.ndarray, budget: int) -> int:
+    fits = np.flatnonzero(counts <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 def _counts(table: bytes, width: int) -> np.ndarray:
@@ -212,10 +282,6 @@ def fitting_chars(budget: Column) -> Column:
 
     @F.pandas_udf("long")
     def fit(table: pd.Series, width: pd.Series, most: pd.Series) -> pd.Series:
-        out = []
-        for t, w, m in zip(table, width, most):
-            fits = np.flatnonzero(_counts(t, w) <= m)
-            out.append(int(fits[-1]) + 1 if len(fits) else 0)
-        return pd.Series(out, dtype="int64")
+        return pd.Series([_fitting(_counts(t, w), m) for t, w, m in zip(table, width, most)], dtype="int64")
 
     return fit(F.col("prefix_table"), F.col("prefix_width"), budget.cast("long"))

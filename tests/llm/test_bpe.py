@@ -131,3 +131,22 @@ def test_empty_tables(spark):
     docs = documents(spark, [])[0]
     assert bpe_codec.encode(docs, tokenizer_path()).count() == 0
     assert token_counts.prefix_counts(docs, tokenizer_path()).count() == 0
+
+
+def test_budget_in_the_same_pass_equals_the_table(spark):
+    docs, _ = documents(spark)
+    told = token_counts.prefix_counts(docs, tokenizer_path())
+    want = told.select("doc_id", "n_tokens", token_counts.fitting_chars(F.lit(10)).alias("fit"))
+    got = token_counts.prefix_counts(docs, tokenizer_path(), budget=10, keep_table=False)
+    assert got.where("prefix_table is not null").count() == 0
+    assert table(got, "doc_id", "n_tokens", "chars_in_budget") == table(want, "doc_id", "n_tokens", "fit")
+
+
+def test_token_pairs_by_undone_merges_equal_whole_merges():
+    model = model_of(load_blob(tokenizer_path()))
+    counter = token_counts.PrefixCounter(model)
+    rnd = random.Random(5)
+    ids = sorted(model.vocab.values())
+    for _ in range(20_000):
+        a, b = (rnd.choice(ids[: rnd.choice([300, 5000, len(ids)])]) for _ in range(2))
+        assert counter._never_merge(a, b) == (model.merge(model.token_bytes[a] + model.token_bytes[b]) == [a, b])
