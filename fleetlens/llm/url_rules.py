@@ -1,7 +1,7 @@
 """URL allow and block rules by a sort-merge range join.
 
-A host becomes a key of its labels in reverse, each ended by a separator that
-sorts below every other character. A host and its subdomains are then one
+A host becomes a key of its labels in reverse, each ended by a slash, which no
+host holds. A host and its subdomains are then one
 interval of keys: those that begin with the host's key. URLs are
 range-partitioned and sorted by key; each task walks its sorted URLs beside
 the sorted rule intervals and keeps a stack of the intervals that hold the
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.scratch import stored
 
-# Sorts below every character that a host may hold.
-END = "\x01"
+# A host ends in front of any of these, so none of them is part of a label.
+NOT_IN_HOST = "/?#"
+END = "/"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK_RULES, BLOCK_BYTES = 100_000, 8 << 20
 
@@ -72,6 +73,8 @@ def blocks(rules: Iterable[Rule]) -> Iterator[list[tuple[str, list[tuple[str, st
     for r in rules:
         if not r.host:
             raise ValueError("a rule needs a host")
+        if any(c in r.host for c in NOT_IN_HOST):
+            raise ValueError(f"no URL has a host like {r.host!r}")
         paths = by_host.setdefault(host_key(lower_ascii(r.host)), {})
         paths.setdefault(r.path, (r.name, r.verdict))
     block, n, size = [], 0, 0

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from llm_cases import lower_ascii, ordered, table
 
 from fleetlens.llm import url_rules
@@ -26,7 +27,7 @@ def brute(url, rules, default="allow"):
 URLS = [
     None, "", "no scheme", "://", "http://", "http://ORG/", "http://example.org", "https://www.Example.ORG/es/1?x=/y", "http://example.org/en/1", "http://example.org/en/12",
     "http://example.org/en", "http://notexample.org/es/", "http://a.com/fr/#z", "http://a.b.com/de/q", "http://com/de", "http://a.com?/fr/", "x://y://z.org/", "http://é.org/ü",
-    "http://org.example.com/de/", "http://a..org/x", "http://.org/", "http://org./x", "http://a.net\n/x", "http://" + "s." * 3000 + "org/" + "p/" * 3000,
+    "http://org.example.com/de/", "http://a..org/x", "http://.org/", "http://org./x", "http://a.net\n/x", "https://com\x01x/fr/a", "https://x\x01com/fr/a", "https://a.com\x00.com/fr/a", "https://com-x.com/de/", "https://com!/fr/", "http://" + "s." * 3000 + "org/" + "p/" * 3000,
 ]
 
 
@@ -74,3 +75,9 @@ def test_no_rows_and_no_rules(spark):
     df, _ = pages(spark, [])
     assert url_rules.judge(df, URL_RULES).count() == 0
     check(spark, URLS, [])
+
+
+@pytest.mark.parametrize("host", ["a/b", "a?b", "#"])
+def test_rule_hosts_that_no_url_has_are_refused(host):
+    with pytest.raises(ValueError):
+        list(url_rules.blocks([Rule("block", host, "/")]))
