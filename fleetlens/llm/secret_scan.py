@@ -27,17 +27,20 @@ all fail to reject that, at a level divided by their number.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.scratch import stored
 
-# The base patterns, the group whose length counts and its least length.
+# The base patterns, the group whose length counts and its least
+# length. Where a match is a whole run of its symbols the pattern asks for the
+# length itself: a run too short has no longer match inside it.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]+", 0, 32),
+    ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: A cheap necessary condition of each base pattern, to pass texts without it.
 _HINT = {"assign": BASE[0][1], "access": "AKIA", "hex": "[0-9a-f]{32}"}
@@ -62,10 +65,42 @@ RATIO_SHARE = 0.1
 LENGTHS = (20, 28, 40, 56, 80, 112, 160, 224)
 #: Share of false discoveries admitted, and the level of the randomness tests.
 DISCOVERY_RATE, RANDOM_LEVEL = 0.01, 0.001
+#: Spans are numbered in blocks of BLOCK, in LEVELS levels of blocks.
+BLOCK, LEVELS = 64, 3
 #: Grid of p-values: steps per power of ten, and the last step.
 STEPS, LAST_STEP = 20, 6000
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, join: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
+    """For each place of an array of whole numbers, `join` over all places before it (0 for none).
+
+    `join` is associative and 0 its neutral element. Appending to an array
+    copies it, so values are folded in blocks of BLOCK: the blocks' totals are
+    folded first, in blocks too, then each block goes on from what is before it.
+    """
+    none = F.array().cast("array<int>")
+
+    def block(xs: Column, start: Column) -> Column:
+        step = lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    if not levels:
+        return block(values, F.lit(0))
+
+    def folded(xs: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.ceil(F.size(xs) / BLOCK).cast("int") - 1)
+        blocks = F.transform(cuts, lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+        return _let(blocks, lambda parts: F.flatten(F.zip_with(parts, before(F.transform(parts, total), join, levels - 1), block)))
+
+    total = lambda xs: F.aggregate(xs, F.lit(0), join)
+    return F.when(F.size(values) <= BLOCK, block(values, F.lit(0))).otherwise(_let(values, folded))
+
+
 def spans(text: Column, pattern: str, group: int) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, found, sized), in code points.
 
@@ -75,17 +110,32 @@ def spans(text: Column, pattern: str, group: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     parts = F.arrays_zip(found.alias("found"), sized.alias("sized"), F.split(text, pattern, -1).alias("gap"))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,found:string,sized:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+    whole = F.filter(parts, lambda x: x["found"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["found"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"), x["sized"].alias("sized"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
+    def placed(x: Column, at: Column) -> Column:
+        begin = at + F.length(x["gap"])
+        return F.struct(begin.alias("start"), (begin + F.length(x["found"])).alias("end"), x["found"].alias("found"), x["sized"].alias("sized"))
+
+    sizes = lambda xs: F.transform(xs, lambda x: F.length(x["gap"]) + F.length(x["found"]))
+    return _let(whole, lambda xs: F.zip_with(xs, _let(sizes(xs), lambda n: before(n, lambda a, b: a + b)), placed))
 
-    whole = F.filter(parts, lambda x: x["found"].isNotNull())
-    return F.aggregate(whole, start, step, lambda acc: acc["out"])
+
+def clear_of(runs: Column, named: Column) -> Column:
+    """The spans of `runs`, which do not overlap each other, that overlap none of `named`.
+
+    A span overlaps one of them if, of those that begin before its end, the
+    furthest end is beyond its start: a running maximum over all in one order.
+    """
+    kind = "struct<at:int,name:int,other:int,span:struct<start:int,end:int,found:string,sized:string>>"
+    ends = F.transform(runs, lambda r: F.struct(r["end"].alias("at"), F.lit(0).alias("name"), r["start"].alias("other"), r.alias("span")).cast(kind))
+    begins = F.transform(named, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("name"), b["end"].alias("other"), F.lit(None).alias("span")).cast(kind))
+
+    def kept(events: Column) -> Column:
+        reach = F.transform(events, lambda e: F.when(e["name"] == 1, e["other"]).otherwise(0))
+        both = F.zip_with(events, _let(reach, lambda r: before(r, lambda a, b: F.greatest(a, b))), lambda e, far: F.struct(e.alias("e"), far.alias("far")))
+        return F.transform(F.filter(both, lambda x: (x["e"]["name"] == 0) & (x["far"] <= x["e"]["other"])), lambda x: x["e"]["span"])
+
+    return F.when((F.size(runs) == 0) | (F.size(named) == 0), runs).otherwise(_let(F.array_sort(F.concat(ends, begins)), kept))
 
 
 def _none() -> Column:
@@ -157,9 +207,9 @@ def battery(candidates: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.col("k")),
         lambda i: (F.length("symbols") - F.length(F.replace(F.col("symbols"), F.substr(F.col("alphabet"), i, F.lit(1)), F.lit("")))).cast("double"),
     )
-    places = F.transform(
-        F.sequence(F.lit(1), F.col("n")), lambda i: (F.instr(F.col("alphabet"), F.substr(F.col("symbols"), i, F.lit(1))) - 1).cast("double")
-    )
+    # The symbols as an array: a place of a string is found by walking there.
+    symbols = F.slice(F.split("symbols", ""), F.lit(1), F.col("n"))
+    places = F.transform(symbols, lambda c: (F.instr(F.col("alphabet"), c) - 1).cast("double"))
     whole = ALPHABETS["base64"][0]
     marked = F.concat(F.lit("^"), F.translate(F.col("symbols"), whole, "".join(map(_class_of, whole))))
     chain = F.array(*[F.regexp_count(marked, F.lit("(?=" + pair.replace("^", r"\^").replace("+", r"\+") + ")")) for pair in CHAIN])
@@ -193,7 +243,7 @@ def battery(candidates: DataFrame) -> DataFrame:
 
     # Lag-1 correlation of the symbols' places.
     mean = total(F.col("places")) / n
-    out = out.withColumn("away", F.transform("places", lambda v: v - mean))
+    out = out.withColumn("away", _let(mean, lambda m: F.transform("places", lambda v: v - m)))
     power = total(F.transform("away", lambda v: v * v))
     lag = total(F.transform(pairs(F.col("away")), lambda p: p["x"] * p["y"]))
     p_serial = F.when(power > 0, erfc(F.abs(lag / power + 1 / n) * F.sqrt(n) / math.sqrt(2))).otherwise(0.0)
@@ -278,7 +328,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
     spans are all that the patterns give; a `random` span overlaps none. It is a
     whole run, or where that is not admitted a piece of it between / _ and -.
 
-    Null and empty texts have no spans. Texts of any length are scanned whole.
+    Null and empty texts have no spans. Texts of any length are scanned whole,
+    in time that grows with their length however many matches they hold.
     Repeated rows and null ids are kept as they come; other columns are not
     read; an empty table gives no rows.
     """
@@ -292,7 +343,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
     named = [F.transform(base[kind], of_kind(k)) for k, (kind, *_) in enumerate(BASE)]
     runs = F.when(F.col("text").rlike(CANDIDATE), spans(F.col("text"), CANDIDATE, 0)).otherwise(_none())
     rows = rows.select("id", F.array_sort(F.concat(*named)).alias("base"), runs.alias("runs"))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    apart = clear_of(F.col("runs"), F.col("base"))
     # One pass over the texts; what follows reads spans only.
     rows = stored(rows.select(F.monotonically_increasing_id().alias("tag"), "id", "base", apart.alias("runs")), "secrets")
 

@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -128,3 +129,57 @@ def test_empty_table_and_no_python(spark):
     assert secret_scan.scan(docs).count() == 0
     plan = secret_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_positions_in_blocks_equal_a_plain_fold(spark):
+    rnd = random.Random(4)
+    edge = secret_scan.BLOCK
+    lists = [[rnd.randint(0, 50) for _ in range(n)] for n in (0, 1, edge - 1, edge, edge + 1, edge * edge, edge * edge + 1, 3 * edge * edge + 5)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    sums = secret_scan.before(F.col("x"), lambda a, b: a + b)
+    most = secret_scan.before(F.col("x"), lambda a, b: F.greatest(a, b))
+    for r in rows.select("i", sums.alias("sums"), most.alias("most")).collect():
+        x = lists[r.i]
+        want_sums, want_most = [0], [0]
+        for v in x:
+            want_sums.append(want_sums[-1] + v)
+            want_most.append(max(want_most[-1], v))
+        assert r.sums == want_sums[:-1] and r.most == want_most[:-1]
+
+
+def test_runs_clear_of_base_spans_equal_all_comparisons(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        at, runs = 0, []
+        for _ in range(rnd.choice([0, 1, 5, 200])):
+            at += rnd.randint(0, 12)
+            runs.append((at, at + rnd.randint(1, 9), f"r{at}", f"r{at}"))
+            at = runs[-1][1]
+        named = [(s, s + rnd.randint(1, 15)) for s in sorted(rnd.randint(0, at + 5) for _ in range(rnd.choice([0, 1, 4, 90])))]
+        rows.append((i, runs, [(s, 0, e) for s, e in named]))
+    span = "array<struct<start:int,end:int,found:string,sized:string>>"
+    data = spark.createDataFrame(rows, f"i int, runs {span}, named array<struct<start:int,kind:int,end:int>>")
+    for r in data.select("i", secret_scan.clear_of(F.col("runs"), F.col("named")).alias("out")).collect():
+        _, runs, named = rows[r.i]
+        want = [x for x in runs if not any(s < x[1] and x[0] < e for s, _, e in named)]
+        assert [tuple(x) for x in r.out] == want
+
+
+@pytest.mark.parametrize("kind", ["words", "dump", "run", "assignments"])
+def test_cost_of_one_long_text_grows_with_its_length(spark, kind):
+    rnd = random.Random(9)
+    hexa = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    end = hexa(32)
+    text = {
+        "words": lambda: "cafe hello " * 900_000,
+        "dump": lambda: " ".join(hexa(32) for _ in range(30_000)) + " ",
+        "run": lambda: base64.b64encode(rnd.randbytes(300_000)).decode() + " ",
+        "assignments": lambda: "token=a " * 200_000,
+    }[kind]() + end
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (row,) = secret_scan.scan(docs).collect()
+    assert time.time() - began < 90  # the square of the matches or symbols takes hours
+    base = [(s.kind, s.start, s.end) for s in row.spans if s.base]
+    assert base == base_of(text) and base[-1] == ("hex", len(text) - 32, len(text))
