@@ -10,6 +10,7 @@ read again.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,11 @@ from fleetlens.llm.bpe_codec import slices
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOL_BYTES = b"#*$%&|<>"
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+# Code points of scripts that put no spaces between words (Thai,
+# Lao, Tibetan, Myanmar, Khmer, kana, Han, their punctuation and wide forms).
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]+")
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unspaced")
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -41,7 +46,8 @@ def measure(text: str) -> tuple[int, ...]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     spaces = len(raw) - len(raw.translate(None, SPACE_BYTES))
     symbols = len(raw) - len(raw.translate(None, SYMBOL_BYTES))
-    return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated, len(lines)
+    unspaced = 0 if text.isascii() else len(text) - len(UNSPACED.sub("", text))
+    return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated, len(lines), unspaced
 
 
 @dataclass(frozen=True)
@@ -56,7 +62,8 @@ RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("short_words", "word_chars < 2 * n_words"),
-    Rule("long_words", "word_chars > 25 * n_words"),
+    # A word by white space is a phrase or a line where scripts are written without spaces.
+    Rule("long_words", "word_chars > 25 * n_words and 2 * n_unspaced <= word_chars"),
     Rule("symbols", "n_symbols > n_words"),
     Rule("duplicate_lines", "2 * n_dup_lines > n_lines and n_lines >= 4"),
 )
@@ -157,6 +164,12 @@ def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataF
 
 
 def keep(docs: DataFrame, policy: Policy = CURRENT, *, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that pass the policy, with all their columns."""
+    """The rows of `docs` that pass the policy, with all their columns.
+
+    Null and empty texts fail ``few_words`` and go, as every policy holds it.
+    Texts of any length are measured whole. Repeated rows and null ids pass or
+    fail by their text alone; columns of any name go along; an empty table
+    gives no rows.
+    """
     rows = _measured(docs, docs.columns, text_col)
     return rows.where(passes(policy, failure_bits())).select("row.*")

@@ -122,7 +122,7 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_table(spark, sf_dir, "documents"))
     measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select(
-        "doc_id", *measured, (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.CURRENT).alias("kept"), "n_lines", "failed"
+        "doc_id", *measured, (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.CURRENT).alias("kept"), "n_lines", "n_unspaced", "failed"
     )
 
 
@@ -153,14 +153,15 @@ m AS (
     coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-    coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines
+    coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    length(t) - length(regexp_replace(t, '[\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}]', '', 'g')) AS n_unspaced
   FROM w LEFT JOIN repeated r USING (rid)),
 f AS (
   SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
-    + 4 * (word_chars < 2 * n_words)::BIGINT + 8 * (word_chars > 25 * n_words)::BIGINT
+    + 4 * (word_chars < 2 * n_words)::BIGINT + 8 * (word_chars > 25 * n_words AND 2 * n_unspaced <= word_chars)::BIGINT
     + 16 * (n_symbols > n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines AND n_lines >= 4)::BIGINT AS failed
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_unspaced, failed,
   failed & 3 <> 0 AS base_failed, failed = 0 AS kept
 FROM f
 """

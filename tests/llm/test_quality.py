@@ -1,5 +1,6 @@
 """Quality measures, policies and ablations against plain Python."""
 
+import random
 from collections import Counter
 
 from llm_cases import documents, ordered, table, words_of
@@ -14,12 +15,14 @@ def slow_measures(text):
     seen = Counter(windows)
     covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if words_of(x)]
-    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines))
+    blocks = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF))
+    unspaced = sum(any(a <= ord(c) <= b for a, b in blocks) for c in text)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines), unspaced)
 
 
 def slow_bits(m):
-    n, chars, symbols, dup, repeat, lines = m
-    fails = (n < 50, 100 * repeat > 50 * n, chars < 2 * n, chars > 25 * n, symbols > n, 2 * dup > lines and lines >= 4)
+    n, chars, symbols, dup, repeat, lines, unspaced = m
+    fails = (n < 50, 100 * repeat > 50 * n, chars < 2 * n, chars > 25 * n and 2 * unspaced <= chars, symbols > n, 2 * dup > lines and lines >= 4)
     return sum(1 << k for k, f in enumerate(fails) if f)
 
 
@@ -65,3 +68,13 @@ def test_policies_are_versioned_and_base_is_in_each():
 def test_empty_table(spark):
     docs = documents(spark, [])[0]
     assert quality.ledger(docs).count() == 0 and quality.keep(docs).columns == docs.columns
+
+
+def test_clean_prose_without_spaces_stays(spark):
+    rnd = random.Random(3)
+    line = lambda first, last, n: "".join(chr(rnd.randint(first, last)) for _ in range(n))
+    clean = ["\n".join(line(a, b, 60) for _ in range(80)) for a, b in ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0x0E01, 0x0E2E), (0x1780, 0x17B3), (0x20000, 0x2A6DF))]
+    glued = ["\n".join(line(0x61, 0x7A, 60) for _ in range(80)), "\n".join(line(0x61, 0x7A, 31) + line(0x4E00, 0x9FA5, 29) for _ in range(80))]
+    docs, _ = documents(spark, clean + glued)
+    got = {r.doc_id for r in quality.keep(docs.where("doc_id < 7 and source is not null or doc_id in (0, 4)")).collect()}
+    assert {0, 1, 2, 4} <= got and not got & {5, 6}
