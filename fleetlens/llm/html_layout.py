@@ -5,7 +5,11 @@ ends the one before, a block ends a paragraph). Visibility rules then leave
 out what a browser does not show. The rest is written line by line: white
 space collapses, paragraphs and other spaced blocks have an empty line
 between them, list items a marker and an indent, table cells the width of
-their column.
+their column. Every line of a cell begins where its column does. Lines longer
+than COLUMN are folded between words, but for cells with nothing to their right
+and for lines whose spaces matter. What is still longer (a word, a
+preformatted line, a cell over several columns) stays whole, and what stands to
+the right of it in its row goes on in the next line that has room.
 
 The walk keeps its own stack, so nesting depth is bounded by memory only.
 """
@@ -52,7 +56,7 @@ IMPLIED_ENDS = {
 }
 SCOPES = {"table", "td", "th", "caption", "template", "html"}
 LISTS = {"ul", "ol", "menu", "dir"}
-#: Longest padding of a table column; longer cells stay whole and are not aligned.
+#: Widest table column: longer lines are folded, or later cells stand below them.
 COLUMN = 60
 MOST_COLSPAN, MOST_ROWSPAN = 1000, 65534
 
@@ -234,6 +238,20 @@ class Lines:
         return self.lines
 
 
+def fold(line: str) -> list[str]:
+    """The line in pieces of COLUMN characters at most, divided between words; longer words stay whole."""
+    words = line.lstrip(" ")
+    if len(line) <= COLUMN or "  " in words:
+        return [line]
+    lead = line[: len(line) - len(words)]
+    out = [""]
+    for word in words.split(" "):
+        if out[-1] and len(lead) + len(out[-1]) + 1 + len(word) > COLUMN:
+            out.append("")
+        out[-1] += f" {word}" if out[-1] else word
+    return [lead + piece for piece in out]
+
+
 class Table:
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []  # of (first column, columns, lines)
@@ -256,24 +274,33 @@ class Table:
         self._column += across
 
     def lines(self) -> list[str]:
+        edge = max((c + across for row in self.rows for c, across, _ in row), default=0)
+        rows = [
+            [(c, across, lines if c + across == edge else [piece for line in lines for piece in fold(line)]) for c, across, lines in row] for row in self.rows
+        ]
         widths: dict[int, int] = {}
-        for row in self.rows:
+        for row in rows:
             for c, across, lines in row:
                 if across == 1:
                     widths[c] = min(COLUMN, max([widths.get(c, 0), *map(len, lines)]))
         # Where each column begins, two characters after the widest of the one before.
         starts, at = {}, 0
-        for c in sorted({c for row in self.rows for c, _, _ in row}):
+        for c in sorted({c for row in rows for c, _, _ in row}):
             starts[c] = at
             at += widths.get(c, 0) + 2
         out = []
-        for row in self.rows:
-            for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                line = ""
-                for c, _, lines in row:
-                    if k < len(lines) and lines[k]:
-                        line = line + " " * max(starts[c] - len(line), 2 if line else 0) + lines[k]
-                out.append(line.rstrip())
+        for row in rows:
+            placed = [""] * max((len(lines) for _, _, lines in row), default=0)
+            for c, _, lines in row:
+                k = 0
+                for line in lines:
+                    if line:
+                        while k < len(placed) and placed[k] and len(placed[k]) + 2 > starts[c]:
+                            k += 1
+                        placed += [""] * (k + 1 - len(placed))
+                        placed[k] = placed[k].ljust(starts[c]) + line
+                    k += 1
+            out += [line.rstrip() for line in placed]
         return out
 
 
@@ -362,6 +389,9 @@ def visible_text(page: str) -> str:
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id column, text) of every page: all its visible text, laid out.
 
+    Table cells of any length are whole and aligned: their long lines are
+    folded between words, and a longer word moves the cells right of it to a
+    later line, in their columns.
     Null and empty pages, and pages that show nothing, have an empty text.
     Broken markup never fails: unclosed elements end with the page, stray end
     tags are left out. Pages of any length are read whole. Repeated rows and
