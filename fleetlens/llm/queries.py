@@ -170,9 +170,10 @@ FROM f
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.assign(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, p: acc + p["words"])
-    rows = placed.select(
-        "row.doc_id", "size", "source_size", "target", taken.alias("taken"), F.get("passes", F.lit(0))["position"].alias("position"), "key"
-    )
+    # The passes that take words are the first ones, so the k-th place holds pass k.
+    names = ("position", *[f"position_{k}" for k in range(2, curriculum.MOST_PASSES + 1)])
+    positions = [F.get("passes", F.lit(k))["position"].alias(name) for k, name in enumerate(names)]
+    rows = placed.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), *positions, "key")
     return stored(rows, "curriculum").orderBy(F.col("position").asc_nulls_last(), "key").drop("key")
 
 
@@ -196,12 +197,17 @@ o AS (
   FROM d JOIN p USING (s)),
 k AS (
   SELECT *, list_transform([0, 1, 2], lambda j: least(greatest(floor(target)::BIGINT - (j * source_size + start), 0), size)) AS words,
-    start / target AS share
+    list_transform([0, 1, 2], lambda j: (j * source_size + start) / target) AS shares
   FROM o),
-x AS (SELECT *, 2 * share / ((1 - ramp) + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * share)) AS moment FROM k)
+x AS (
+  SELECT *, list_transform(shares, lambda u: 2 * u / ((1 - ramp) + sqrt(greatest((1 - ramp) * (1 - ramp) + 4 * ramp * u, 0)))) AS moments
+  FROM k),
+y AS (SELECT *, list_transform(moments, lambda m: total * m + bent * (m * m - m)) AS positions FROM x)
 SELECT doc_id, size, source_size, target, list_sum(words)::BIGINT AS taken,
-  CASE WHEN words[1] > 0 THEN total * moment + bent * (moment * moment - moment) END AS position
-FROM x
+  CASE WHEN words[1] > 0 THEN positions[1] END AS position,
+  CASE WHEN words[2] > 0 THEN positions[2] END AS position_2,
+  CASE WHEN words[3] > 0 THEN positions[3] END AS position_3
+FROM y
 """
 
 
