@@ -20,7 +20,8 @@ import hashlib
 import io
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -98,30 +99,70 @@ def _write_text(records: DataFrame, path: str) -> None:
     records.select(F.col("record").cast("string")).write.option("compression", "gzip").text(path, lineSep="\n")
 
 
-def arc_records(stream: BinaryIO) -> Iterator[dict]:
-    """Records of one archive: the header line's fields by name (lower case), `version`, `offset`, `body`."""
-    fields, version, offset = None, "", 0
-    while line := stream.readline():
-        start, offset = offset, offset + len(line)
-        if not line.strip():
-            continue  # the line end after a body
-        parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        if fields is None and not parts[0].startswith("filedesc://"):
-            raise ValueError("the archive does not begin with a version block")
-        if fields is not None and len(parts) != len(fields):
-            raise ValueError(f"a version {version} header line has {len(fields)} fields, not {len(parts)}")
-        length = int(parts[-1])
-        body = stream.read(length)
-        offset += length
-        if len(body) != length:
-            raise ValueError("the archive ends within a record")
-        if fields is None:
-            head = body.decode("utf-8", "replace").split("\n")
-            version = head[0].split(" ")[0]
-            if version not in ARC_FIELDS:
-                raise ValueError(f"unknown ARC version {version!r}")
-            fields = ARC_FIELDS[version].lower().split(" ")
-        yield dict(zip(fields, parts)) | {"version": version, "offset": start, "body": body}
+#: What a header line's fields look like; only the URL, the first one, may hold blanks.
+_HEADER_LINE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:.* [0-9A-Fa-f.:]+ \d{4,14} \S+( \S+ \S+ \S+ \S+ \S+)? \d+")
+
+
+def _header_line(line: bytes, fields: list[str]) -> list[str] | None:
+    """The fields of a header line taken from its end, so that a URL may hold blanks; None if it is none."""
+    text = line.decode("utf-8", "replace").rstrip("\r\n")
+    parts = text.rsplit(" ", len(fields) - 1)
+    return parts if len(parts) == len(fields) and _HEADER_LINE.fullmatch(text) and re.fullmatch(r"\d{4,14}", parts[2]) else None
+
+
+def arc_records(stream: BinaryIO, on_bad: Callable[[int, str], None] | None = None) -> Iterator[dict]:
+    """Records of one archive: the header line's fields by name (lower case), `version`, `offset`, `body`.
+
+    Without `on_bad` a malformed archive is refused with a ValueError. With it
+    each fault is told as (offset, what) and reading goes on: after a line that
+    is no header line at the next one that is; a URL with blanks is no fault. A
+    record cut short, a damaged compression and a missing or unknown version
+    block end the archive, whose earlier records stay.
+    """
+    fields, version, offset, lost = None, "", 0, False
+
+    def bad(at: int, what: str) -> None:
+        if on_bad is None:
+            raise ValueError(what)
+        on_bad(at, what)
+
+    try:
+        while line := stream.readline():
+            start, offset = offset, offset + len(line)
+            if not line.strip():
+                continue  # the line end after a body
+            parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+            if fields is None and not parts[0].startswith("filedesc://"):
+                return bad(start, "the archive does not begin with a version block")
+            if fields is not None and on_bad is not None:
+                parts = _header_line(line, fields)
+                if parts is None:
+                    if not lost:  # one fault, however many lines are passed
+                        bad(start, f"not a version {version} header line")
+                    lost = True
+                    continue
+                lost = False
+            if fields is not None and len(parts) != len(fields):
+                bad(start, f"a version {version} header line has {len(fields)} fields, not {len(parts)}")
+            if not re.fullmatch(r"\d+", parts[-1], re.ASCII):
+                return bad(start, "the record declares no length")
+            length = int(parts[-1])
+            body = stream.read(length)
+            offset += length
+            if len(body) != length:
+                return bad(start, "the archive ends within a record")
+            if fields is None:
+                head = body.decode("utf-8", "replace").split("\n")
+                version = head[0].split(" ")[0]
+                if version not in ARC_FIELDS:
+                    return bad(start, f"unknown ARC version {version!r}")
+                fields = ARC_FIELDS[version].lower().split(" ")
+                parts += [""] * (len(fields) - len(parts))
+            yield dict(zip(fields, parts)) | {"version": version, "offset": start, "body": body}
+    except (EOFError, OSError, zlib.error) as fault:
+        if on_bad is None:
+            raise
+        on_bad(offset, f"damaged compression: {fault}")
 
 
 # -- Conversion --------------------------------------------------------------
@@ -140,6 +181,11 @@ def http_field(header: bytes, name: str) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
+def _whole_number(text: str | None) -> int | None:
+    """The number that a header field states; None where another writer put something else there."""
+    return int(text) if text and re.fullmatch(r"-?\d{1,18}", text.strip(), re.ASCII) else None
+
+
 def warc_date(stamp: str) -> str:
     """ISO time of a 14-digit (or, in old archives, shorter) time stamp."""
     digits = (stamp + "00000101000000"[len(stamp) :])[:14]
@@ -164,7 +210,7 @@ def synthesised(archive: str, record: dict) -> dict:
         "ip": record["ip-address"],
         "date": warc_date(record["archive-date"]),
         "content_type": "application/http; msgtype=response" if kind == "response" else record["content-type"],
-        "page_id": None if page is None else int(page),
+        "page_id": _whole_number(page),
         "payload_bytes": len(payload),
         "payload_digest": hashlib.sha256(payload).hexdigest(),
     }
@@ -210,16 +256,33 @@ def _parsed(spark: SparkSession, path: str, schema: str, parse) -> DataFrame:
     return _files(spark, path).mapInArrow(run, schema)
 
 
-def read_arc(spark: SparkSession, path: str, *, bodies: bool = True) -> DataFrame:
-    """Every record of the archives under `path` with what WARC needs of it, and its `body`."""
+def read_arc(spark: SparkSession, path: str, *, bodies: bool = True, strict: bool = False) -> DataFrame:
+    """Every record of the archives under `path` with what WARC needs of it, and its `body`.
+
+    Faulty records are left out (``arc_faults`` tells them); with `strict` they
+    end the job.
+    """
 
     def parse(name: str, stream: BinaryIO) -> Iterator[dict]:
-        for record in arc_records(stream):
+        for record in arc_records(stream, None if strict else lambda at, what: None):
             yield synthesised(name, record) | {"body": record["body"]}
 
     return _parsed(spark, path, _META + ", body binary" * bodies, parse)
 
 
+def arc_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, offset, fault) of all that ``read_arc`` leaves out; no rows if all archives are sound."""
+
+    def parse(name: str, stream: BinaryIO) -> Iterator[dict]:
+        told: list[dict] = []
+        for _ in arc_records(stream, lambda at, what: told.append({"archive": name, "offset": at, "fault": what})):
+            yield from told
+            told.clear()
+        yield from told
+
+    return _parsed(spark, path, "archive string, offset long, fault string", parse)
+
+
 def warc_record(row: dict) -> bytes:
     """One record without its last line end. `first_*` name the response that a revisit refers to."""
     kind, block = row["warc_type"], row["body"]
@@ -248,9 +311,13 @@ def warc_record(row: dict) -> bytes:
     return head.encode() + b"\r\n" + block + b"\r\n\r"
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """Convert all archives under `arc_path`; WARC files go to `warc_path`."""
-    met = read_arc(spark, arc_path, bodies=False).where((F.col("warc_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
+def convert(spark: SparkSession, arc_path: str, warc_path: str, *, strict: bool = False) -> None:
+    """Convert all archives under `arc_path`; WARC files go to `warc_path`.
+
+    Faulty records are left out and told by ``arc_faults``; with `strict` they
+    end the job.
+    """
+    met = read_arc(spark, arc_path, bodies=False, strict=strict).where((F.col("warc_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
     one = F.struct(F.col("page_id").isNull(), "page_id", "record_id", "uri", "date")
     groups = met.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("first")).where("n > 1")
     # Only payloads that occur again. Stored, so that the join may split the bodies of a hot one.
@@ -258,7 +325,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
         F.col("payload_digest").alias("_digest"), F.col("first.record_id").alias("first_id"), F.col("first.uri").alias("first_uri"), F.col("first.date").alias("first_date")
     )
     firsts = stored(firsts, "repeats")
-    rows = read_arc(spark, arc_path)
+    rows = read_arc(spark, arc_path, strict=strict)
     again = (F.col("payload_digest") == F.col("_digest")) & (F.col("warc_type") == "response")
     joined = rows.join(firsts, again, "left").drop("_digest")
 
@@ -316,8 +383,8 @@ def read_warc(spark: SparkSession, path: str, *, bodies: bool = False) -> DataFr
                 "uri": fields.get("warc-target-uri"),
                 "date": fields["warc-date"],
                 "refers_to": _bare(fields.get("warc-refers-to")),
-                "page_id": None if page is None else int(page),
-                "payload_bytes": int(http_field(header, "Content-Length")) if revisit else len(payload),
+                "page_id": _whole_number(page),
+                "payload_bytes": _whole_number(http_field(header, "Content-Length")) if revisit else len(payload),
                 "payload_digest": _bare(fields["warc-payload-digest"]) if revisit else digest,
                 "body": block,
             }
@@ -340,7 +407,7 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc, id_col=id_col, url_col=url_col, html_col=html_col)
-    convert(spark, arc, warc)
+    convert(spark, arc, warc, strict=True)  # every page must come back
     back = read_warc(spark, warc).where(F.col("record_type").isin("response", "revisit")).drop("uri", "date")
     back = stored(back, "warc")
     first = back.where(F.col("record_type") == "response").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page"))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import os
 
 import pytest
 from llm_cases import ordered, table
@@ -50,6 +51,51 @@ def test_malformed_archives_are_refused(bad):
         list(A.arc_records(io.BytesIO(bad)))
 
 
+def told(data):
+    faults = []
+    return [r["url"] for r in A.arc_records(io.BytesIO(data), lambda at, what: faults.append((at, what)))], faults
+
+
+def test_reading_goes_on_after_a_fault():
+    good = v1_archive()
+    urls = ["filedesc://old.arc", "http://a.example/", "dns:a.example"]
+    assert told(good) == (urls, [])
+    at = good.index(b"http://a")
+    for junk in (b"no header line\n", b"one\n two three\n\nfour 5\n", b"http://b/ 1.2.3.4 1997 text/html many\n", b"\xff\xfe\n"):
+        found, faults = told(good[:at] + junk + good[at:])
+        assert found == urls and faults == [(at, "not a version 1 header line")]
+    found, faults = told(good.replace(b"text/html 41", b"text/html x41"))  # its body is passed, the next record is found
+    assert found == [urls[0], urls[2]] and faults[0][0] == at and len(faults) == 1
+    found, faults = told(good.replace(b"http://a.example/ ", b"http://a.example/a b  c "))
+    assert found[1] == "http://a.example/a b  c" and not faults
+    found, faults = told(good[:-4])
+    assert found == urls[:2] and [w for _, w in faults] == ["the archive ends within a record"]
+    assert told(b"x" + good)[0] == [] and told(good.replace(b"\n1 0 Org", b"\n9 0 Org"))[0] == [] and told(b"") == ([], [])
+
+
+def test_faulty_archives_do_not_end_the_job(spark):
+    ship_code(spark)
+    folder = fresh_path(spark, "faulty")
+    os.makedirs(folder)
+    good = v1_archive()
+    files = {
+        "part-0.arc": good, "part-1.arc.gz": gzip.compress(good), "part-2.arc.gz": gzip.compress(good * 1)[:-30], "part-3.arc": b"garbage\n" * 50, "part-4.arc": b"",
+        "part-5.arc": good.replace(b"dns:a", b"oops\ndns:a"), "part-6.arc": good.replace(b"A: b", b"X-Page-Id: seven")[:-4],
+    }
+    for name, data in files.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+    faults = {(r.archive, r.fault.split(":")[0]) for r in A.arc_faults(spark, folder).collect()}
+    assert {a for a, _ in faults} >= {"part-2.arc.gz", "part-3.arc", "part-5.arc", "part-6.arc"} and not {a for a, _ in faults} & {"part-0.arc", "part-1.arc.gz", "part-4.arc"}
+    read = A.read_arc(spark, folder).collect()
+    assert sum(r.uri == "dns:a.example" for r in read) >= 3
+    warc = fresh_path(spark, "warc")
+    A.convert(spark, folder, warc)
+    assert sorted(r.record_id for r in A.read_warc(spark, warc).collect()) == sorted(r.record_id for r in read)
+    with pytest.raises(Exception, match="version block|ends within"):
+        A.read_arc(spark, folder, strict=True).collect()
+
+
 PAGES = [
     (1, "http://a.example/x y", "p" * 100, "1"), (2, "http://b.example/", "p" * 100, "2"), (3, None, "p" * 99, "3"), (4, "http://c/", "p" * 99, "4"),
     (5, "http://d/\n", None, "5"), (6, "", "", "6"), (7, "filedesc://trick", "é" * 50, "7"), (8, "http://e/", "é" * 50, "8"), (0, "http://f/", "p" * 100, "0"),
