@@ -147,7 +147,10 @@ def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A document that the mix takes twice comes twice; the document where a
     source reaches its target is cut after the words taken. Texts without
-    words are taken by no pass and do not come.
+    words, null and empty ones among them, are taken by no pass and do not come.
+    Null sources are one source, the last; repeated rows and null ids each take
+    their own place; long texts are cut or kept whole; columns of any name go
+    along; an empty table gives no rows.
     """
     placed = assign(docs, id_col=id_col, text_col=text_col, source_col=source_col)
     each = placed.select("row", "size", "key", F.explode("passes").alias("taken"))

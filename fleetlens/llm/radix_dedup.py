@@ -114,5 +114,11 @@ def _divided(level: DataFrame, width: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without exact copies: one row of each class, as ``classes`` tells."""
+    """The rows of `docs` without exact copies, with all their columns: one row of each class.
+
+    The row with the largest id stays (null ids are the smallest; of rows that
+    repeat that id, any one). Null texts are empty, and one row of all empty
+    texts stays. Texts of any length are compared whole, columns of any name go
+    along, an empty table gives no rows.
+    """
     return classes(docs, id_col=id_col, text_col=text_col).where("kept").select("row.*")

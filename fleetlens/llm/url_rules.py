@@ -10,7 +10,7 @@ most specific on top; each holds its path prefixes sorted, nested alike.
 
 A rule list goes to the tasks in blocks of at most BLOCK_RULES rules and
 BLOCK_BYTES bytes, each read beside the same sorted rows, so a broadcast is
-bounded and a longer list costs more walks, not more memory per block.
+bounded. A task holds all blocks at once, so its memory grows with the list.
 """
 
 from __future__ import annotations
