@@ -38,9 +38,9 @@ def pages(spark, urls):
     return spark.createDataFrame(rows, "page_id long, url string, rule string, verdict string"), rows
 
 
-def check(spark, urls, rules):
+def check(spark, urls, rules, **options):
     df, rows = pages(spark, urls)
-    got = url_rules.judge(df, rules)
+    got = url_rules.judge(df, rules, **options)
     assert table(got, "page_id", "host", "path", "rule", "verdict") == ordered([(r[0], *brute(r[1], rules)) for r in rows])
 
 
@@ -60,11 +60,51 @@ def test_nested_random_rules(spark):
     check(spark, *random_rules(300, 5)[::-1])
 
 
-def test_blocks_of_rules_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("start", [1, 3, 256])
+def test_many_ranges_give_the_same(spark, monkeypatch, start):
     rules, urls = random_rules(120, 6)
-    monkeypatch.setattr(url_rules, "BLOCK_RULES", 7)
-    assert len(list(url_rules.blocks(rules))) > 10
-    check(spark, urls, rules)
+    monkeypatch.setattr(url_rules, "START", start)
+    check(spark, URLS + urls, rules, ranges=37)
+
+
+@pytest.mark.parametrize("start", [1, 2, 256])
+def test_ranges_hold_every_row_that_a_rule_may_fit(start):
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("ab/") for _ in range(rnd.randint(0, n)))
+    for _ in range(300):
+        rows = sorted((word(3), word(5)) for _ in range(rnd.randint(1, 60)))
+        cuts = sorted(rnd.sample(range(len(rows)), min(len(rows), 8)) + [0])
+        cells = [c for c in (rows[a:b] for a, b in zip(cuts, [*cuts[1:], len(rows)])) if c]
+        ends = [[url_rules.place_of(*c[k], start) for c in cells] for k in (0, -1)]
+        key, path = word(3), word(3)
+        held = {k for k, c in enumerate(cells) for row in c if row[0] == key and row[1].startswith(path)}
+        touched = url_rules.ranges_of(*ends, key, path, start)
+        assert held <= set(touched)
+        if start == 256:  # and none that ends before the rule
+            assert all(cells[k][-1] >= (key, path) for k in touched)
+
+
+def test_copies_of_rules_are_bounded_by_ranges_and_depth(spark):
+    ship_code(spark)
+    listed = [Rule("block", f"h{i % 50}.com", f"/{i:05}/" + "x/" * (i % 3)) for i in range(20_000)] + [Rule("allow", "com", "/" + "x" * k) for k in range(5)]
+    rules = url_rules.rule_rows(spark, listed)
+    ends = sorted(url_rules.place_of(f"com/h{i % 50}/", f"/{i:05}/", url_rules.START) for i in range(0, 20_000, 501)) + [("com/h9/", "~")]
+    counts = url_rules.deal_rules(rules, list(range(40)), ends[:-1], ends[1:]).groupBy("cell").count().collect()
+    # Rules that meet a range's end go to both sides of it: at most the chain of paths there.
+    assert sum(r["count"] for r in counts) <= len(listed) + 40 * 5
+    assert max(r["count"] for r in counts) < len(listed) / 4
+
+
+def test_rules_from_a_table(spark):
+    rules, urls = random_rules(80, 8)
+    given = spark.createDataFrame([(r.verdict, r.host, r.path, "x") for r in rules] + [("block", "a/b", "/", "x"), ("block", None, "/", "x"), ("block", "", None, "x")], "verdict string, host string, path string, key string")
+    df, rows = pages(spark, urls)
+    assert table(url_rules.judge(df, given), "page_id", "host", "path", "rule", "verdict") == ordered([(r[0], *brute(r[1], rules)) for r in rows])
+
+
+def test_of_equal_rules_the_first_counts(spark):
+    rules = [Rule("block", "a.com", "/x"), Rule("allow", "A.com", "/x"), Rule("allow", "a.com", "/x")]
+    assert table(url_rules.judge(pages(spark, ["http://a.com/x"])[0].where("page_id = 0"), rules), "rule", "verdict") == [("a.com/x", "block")]
 
 
 def test_one_hot_host(spark):
@@ -77,7 +117,7 @@ def test_no_rows_and_no_rules(spark):
     check(spark, URLS, [])
 
 
-@pytest.mark.parametrize("host", ["a/b", "a?b", "#"])
-def test_rule_hosts_that_no_url_has_are_refused(host):
+@pytest.mark.parametrize("host", ["a/b", "a?b", "#", ""])
+def test_rule_hosts_that_no_url_has_are_refused(spark, host):
     with pytest.raises(ValueError):
-        list(url_rules.blocks([Rule("block", host, "/")]))
+        url_rules.rule_rows(spark, [Rule("block", host, "/")])
