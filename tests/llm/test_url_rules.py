@@ -104,7 +104,8 @@ def test_rules_from_a_table(spark):
 
 def test_of_equal_rules_the_first_counts(spark):
     rules = [Rule("block", "a.com", "/x"), Rule("allow", "A.com", "/x"), Rule("allow", "a.com", "/x")]
-    assert table(url_rules.judge(pages(spark, ["http://a.com/x"])[0].where("page_id = 0"), rules), "rule", "verdict") == [("a.com/x", "block")]
+    got = table(url_rules.judge(pages(spark, ["http://a.com/x"])[0], rules), "rule", "verdict")
+    assert got and set(got) == {("a.com/x", "block")}
 
 
 def test_one_hot_host(spark):
