@@ -135,6 +135,19 @@ def passes(policy: Policy, failed: Column | None = None) -> Column:
     return failed.bitwiseAND(F.lit(policy.mask)) == 0
 
 
+def judged(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES, current: Policy = CURRENT) -> DataFrame:
+    """The ledger rows with ``kept_<version>`` of each policy and `sole_rule`, from the bits alone.
+
+    `sole_rule` names the rule that alone rejects the document under `current`:
+    without it the document would come back. Else it is null.
+    """
+    hit = F.col("failed").bitwiseAND(F.lit(current.mask))
+    sole = F.lit(None).cast("string")
+    for r in current.rules:
+        sole = F.when(hit == Policy("", (r,)).mask, r).otherwise(sole)
+    return rows.select("*", *[passes(p).alias(f"kept_{p.version}") for p in policies], sole.alias("sole_rule"))
+
+
 def patterns(rows: DataFrame) -> DataFrame:
     """(failed, n): documents of each distinct bit pattern, all that policies and ablations need."""
     return rows.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))

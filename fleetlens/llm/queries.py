@@ -118,12 +118,20 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Stored once: policies and ablations read bits, not texts.
+    return stored(quality.ledger(_table(spark, sf_dir, "documents")), "ledger")
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(_table(spark, sf_dir, "documents"))
-    measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return rows.select(
-        "doc_id", *measured, (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.CURRENT).alias("kept"), "n_lines", "n_unspaced", "failed"
-    )
+    rows = quality.judged(_ledger(spark, sf_dir))
+    versions = [f"kept_{p.version}" for p in quality.POLICIES[1:-1]]
+    current = F.col(f"kept_{quality.CURRENT.version}").alias("kept")
+    return rows.select("doc_id", *quality.MEASURES, "failed", (~F.col("kept_base")).alias("base_failed"), *versions, current, "sole_rule")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(_ledger(spark, sf_dir))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +143,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP8_SQL = r"""
+_LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
@@ -161,11 +169,26 @@ f AS (
     + 4 * (word_chars < 2 * n_words)::BIGINT + 8 * (word_chars > 25 * n_words AND 2 * n_unspaced <= word_chars)::BIGINT
     + 16 * (n_symbols > n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines AND n_lines >= 4)::BIGINT AS failed
   FROM m)
+"""
+
+OP8_SQL = _LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_unspaced, failed,
-  failed & 3 <> 0 AS base_failed, failed = 0 AS kept
+  failed & 3 <> 0 AS base_failed, failed & 31 = 0 AS kept_v1, failed = 0 AS kept,
+  CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'short_words'
+    WHEN 8 THEN 'long_words' WHEN 16 THEN 'symbols' WHEN 32 THEN 'duplicate_lines' END AS sole_rule
 FROM f
 """
 
+ABLATIONS_SQL = _LEDGER_SQL + """
+SELECT version, rule, count(*) FILTER (failed & bit <> 0) AS rejected, count(*) FILTER (failed & mask = bit) AS only_here,
+  count(*) FILTER (failed & mask = 0) AS kept, count(*) FILTER (failed & (mask - bit) = 0) AS kept_without
+FROM f,
+  (VALUES ('few_words', 1), ('repeated_words', 2), ('short_words', 4), ('long_words', 8), ('symbols', 16), ('duplicate_lines', 32)) r(rule, bit),
+  (VALUES ('base', 3), ('v1', 31), ('v2', 63)) p(version, mask)
+WHERE mask & bit <> 0
+GROUP BY version, rule
+"""
+
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.assign(_table(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -290,11 +313,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op11_phrase_index,
         op12_bag_search,
         op13_conversation_repair,
+        quality_ablations,
     )
     return {f.__name__: f for f in named}
 
 
-
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
     return {
@@ -302,6 +325,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_arc_to_warc": OP4_SQL,
         "op5_url_rules": OP5_SQL,
         "op8_quality_ledger": OP8_SQL,
+        "quality_ablations": ABLATIONS_SQL,
         "op9_curriculum_mix": OP9_SQL,
         "op11_phrase_index": OP11_SQL,
         "op12_bag_search": OP12_SQL,

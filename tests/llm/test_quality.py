@@ -60,6 +60,19 @@ def test_ablations_count_from_bits_alone(spark):
             assert r.kept_without == sum(b & (p.mask & ~one) == 0 for b in bits)
 
 
+def test_judged_gives_every_policy_and_the_sole_rule(spark):
+    docs, rows = documents(spark, TEXTS)
+    names = [r.name for r in quality.RULES]
+    want = []
+    for r in rows:
+        bits = slow_bits(slow_measures(r[1]))
+        hit = [n for k, n in enumerate(names) if bits >> k & 1 and n in quality.CURRENT.rules]
+        want.append((r[0], *[bits & p.mask == 0 for p in quality.POLICIES], hit[0] if len(hit) == 1 else None))
+    got = quality.judged(quality.ledger(docs))
+    assert table(got, "doc_id", *[f"kept_{p.version}" for p in quality.POLICIES], "sole_rule") == ordered(want)
+    assert any(w[-1] for w in want)
+
+
 def test_policies_are_versioned_and_base_is_in_each():
     assert len({p.version for p in quality.POLICIES}) == len(quality.POLICIES)
     assert all(p.mask & quality.BASE.mask == quality.BASE.mask for p in quality.POLICIES)

@@ -28,7 +28,7 @@ def frame(df):
 
 
 def test_every_query_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in NAMES] == list(range(1, 14))
+    assert [int(n[2:].split("_")[0]) for n in NAMES if n.startswith("op")] == list(range(1, 14))
     assert set(NAMES) | {"pipeline"} <= set(entry.queries())
 
 
