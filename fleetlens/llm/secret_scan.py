@@ -19,9 +19,16 @@ Benjamini-Hochberg rule admits within each stratum (encoding and length class)
 over the whole corpus. P-values are rounded up to a grid, so a stratum's rule
 needs counts on a grid of fixed size only.
 
-Is it like random symbols? Chi-squared uniformity over the alphabet, the runs
-test about the middle of the alphabet and the lag-1 serial correlation must
-all fail to reject that, at a level divided by their number.
+Is it like random symbols? Chi-squared uniformity over the alphabet looks at
+how often symbols occur, the runs test about the middle of the alphabet and the
+lag-1 serial correlation at their order. Their p-values are combined: the order
+tests by Bonferroni, since both see neighbours, and that with chi-squared by
+Fisher's sum of logarithms, since under randomness order says nothing about
+counts. The Benjamini-Hochberg rule of the candidate's stratum then tells which
+candidates are not random, so that of those turned away at most a set share are
+random strings, whatever their length.
+
+A discovery is admitted by the first rule and not turned away by the second.
 """
 
 from __future__ import annotations
@@ -63,8 +70,9 @@ CHAIN = [a + b for a in "^" + CLASSES for b in CLASSES]
 RATIO_SHARE = 0.1
 #: Lower ends of the length classes.
 LENGTHS = (20, 28, 40, 56, 80, 112, 160, 224)
-#: Share of false discoveries admitted, and the level of the randomness tests.
-DISCOVERY_RATE, RANDOM_LEVEL = 0.01, 0.001
+#: Shares of false discoveries: ordinary strings among those admitted, and random
+#: ones among those turned away as not random.
+DISCOVERY_RATE, REJECTION_RATE = 0.01, 0.001
 #: Spans are numbered in blocks of BLOCK, in LEVELS levels of blocks.
 BLOCK, LEVELS = 64, 3
 #: Grid of p-values: steps per power of ten, and the last step.
@@ -251,6 +259,15 @@ def battery(candidates: DataFrame) -> DataFrame:
     return tested.drop("symbols", "alphabet", "k", "squares", "places", "high", "away")
 
 
+def p_random() -> Column:
+    """The battery's p-value under randomness, from a row of `battery`."""
+    least = 1e-300
+    order = F.greatest(F.least(2 * F.least("p_runs", "p_serial"), F.lit(1.0)), F.lit(least))
+    # Twice the negative log of the product of two uniforms is chi-squared with four degrees of freedom.
+    product = F.greatest(order * F.greatest("p_uniform", F.lit(least)), F.lit(least))
+    return product * (1 - F.ln(product))
+
+
 def ordinary(tested: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Of each encoding, the log chances of its symbols within their class and of the steps in CHAIN.
 
@@ -300,9 +317,9 @@ def _stratum() -> Column:
     return F.concat_ws(":", "encoding", place)
 
 
-def _step() -> Column:
-    """The p-value's step on the grid, rounded towards larger p."""
-    return F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * STEPS), F.lit(LAST_STEP)).cast("int")
+def _step(p: Column) -> Column:
+    """A p-value's step on the grid, rounded towards larger p."""
+    return F.least(F.floor(-F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300))) * STEPS), F.lit(LAST_STEP)).cast("int")
 
 
 def discovery_steps(tested: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
@@ -355,12 +372,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
         lambda s: F.struct((F.col("run") + s["start"]).alias("start"), (F.col("run") + s["end"]).alias("end"), s["found"].alias("found"), F.lit(False).alias("whole")),
     )
     each = each.select("tag", "run", F.explode(F.concat(F.array(whole), pieces)).alias("c")).select("tag", "run", "c.*")
-    random = F.least("p_uniform", "p_runs", "p_serial") * 3 > RANDOM_LEVEL
-    tested = battery(each).withColumn("random", random).withColumn("stratum", _stratum())
-    tested = stored(tested.select("tag", "run", "start", "end", "whole", "encoding", "stratum", "n", "p_text", "random", "counts", "chain"), "secrets")
-    tested = tested.withColumn("p", combined(ordinary(tested.where("whole")))).withColumn("step", _step())
-    admitted = tested.join(F.broadcast(discovery_steps(tested, rate)), "stratum")  # a row per stratum: at most 24
-    found = admitted.where((F.col("step") >= F.col("least_step")) & F.col("random"))
+    tested = battery(each).withColumn("stratum", _stratum()).withColumn("random_step", _step(p_random()))
+    tested = stored(tested.select("tag", "run", "start", "end", "whole", "encoding", "stratum", "n", "p_text", "random_step", "counts", "chain"), "secrets")
+    tested = tested.withColumn("step", _step(combined(ordinary(tested.where("whole")))))
+    # A row per stratum each: at most 24.
+    admitted = discovery_steps(tested.select("stratum", "step"), rate)
+    away = discovery_steps(tested.select("stratum", F.col("random_step").alias("step")), REJECTION_RATE).withColumnRenamed("least_step", "away_step")
+    judged = tested.join(F.broadcast(admitted), "stratum").join(F.broadcast(away), "stratum", "left")
+    found = judged.where((F.col("step") >= F.col("least_step")) & (F.col("away_step").isNull() | (F.col("random_step") < F.col("away_step"))))
     found = found.withColumn("covered", F.max("whole").over(Window.partitionBy("tag", "run"))).where("whole or not covered")
     kind = F.struct("start", F.lit(len(BASE)).alias("kind"), "end")
     per_row = found.groupBy(F.col("tag").alias("_tag")).agg(F.collect_list(kind).alias("more"))

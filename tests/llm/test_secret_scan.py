@@ -114,6 +114,88 @@ def test_power_for_short_keys_among_ordinary_candidates(spark, share):
     assert false <= 0.05 * (len(keys) + len(paths))
 
 
+def slow_symbols(found):
+    symbols = found.rstrip("=")
+    name = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", symbols) else "base32" if re.fullmatch("[A-Z2-7]+", symbols) else "base64"
+    return name, symbols.lower() if name == "hex" else symbols.replace("-", "+").replace("_", "/")
+
+
+def slow_scan(texts):
+    """The final random spans of each text, by plain loops over all candidates."""
+    out, candidates = [], []
+    for i, text in enumerate(texts):
+        base = [(s, e) for _, s, e in base_of(text)]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text or ""):
+            if any(s < m.end() and m.start() < e for s, e in base):
+                continue
+            parts = [(m.start() + p.start(), p[0], False) for p in re.finditer(r"[A-Za-z0-9+]{20,}={0,2}", m[0]) if p[0] != m[0]] if re.search("[/_-]", m[0]) else []
+            candidates += [(i, m.start(), s, f, w) for s, f, w in [(m.start(), m[0], True), *parts]]
+    kind = lambda c: "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "+"
+    steps = {n: Counter() for n in secret_scan.ALPHABETS}
+    shares = {n: Counter() for n in secret_scan.ALPHABETS}
+    for *_, f, whole in candidates:
+        name, symbols = slow_symbols(f)
+        if whole:
+            shares[name].update(symbols)
+            steps[name].update(zip("^" + "".join(map(kind, symbols)), map(kind, symbols)))
+    tested = []
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    for i, run, start, f, whole in candidates:
+        name, symbols = slow_symbols(f)
+        alphabet, q, cube = secret_scan.ALPHABETS[name]
+        n = len(symbols)
+        kinds = {kind(c) for c in alphabet}
+        log = 0.0
+        for a, c in zip("^" + symbols, symbols):
+            a = a if a == "^" else kind(a)
+            log += math.log((shares[name][c] + 0.5) / sum(shares[name][x] + 0.5 for x in alphabet if kind(x) == kind(c)))
+            log += math.log((steps[name][a, kind(c)] + 0.5) / sum(steps[name][a, b] + 0.5 for b in kinds))
+        equal = (sum(c * c for c in Counter(symbols).values()) - n) / (n * (n - 1))
+        p_text = 1 - tail((equal - q) / math.sqrt(2 / (n * (n - 1)) * (2 * (n - 2) * (cube - q * q) + q - q * q)))
+        p = min(1, p_text / 0.9, math.exp(-min(max(-n * math.log(len(alphabet)) - log, 0), 700)) / 0.1)
+        uniform, runs, serial = chi_parts(symbols, alphabet)
+        product = max(max(uniform, 1e-300) * max(min(1, 2 * min(runs, serial)), 1e-300), 1e-300)
+        stratum = name, sum(n >= x for x in secret_scan.LENGTHS)
+        step = lambda p: min(math.floor(-math.log10(min(max(p, 1e-300), 1)) * secret_scan.STEPS), secret_scan.LAST_STEP)
+        tested.append((stratum, step(p), step(product * (1 - math.log(product))), i, run, start, start + len(f), whole))
+
+    def least(stratum, k, rate):
+        p = sorted((10 ** (-t[k] / secret_scan.STEPS), t[k]) for t in tested if t[0] == stratum)
+        fine = [s for place, (x, s) in enumerate(p, 1) if x * len(p) <= rate * place]
+        return min(fine, default=math.inf)
+
+    limits = {s: (least(s, 1, secret_scan.DISCOVERY_RATE), least(s, 2, secret_scan.REJECTION_RATE)) for s in {t[0] for t in tested}}
+    found = [t for t in tested if t[1] >= limits[t[0]][0] and t[2] < limits[t[0]][1]]
+    covered = {(t[3], t[4]) for t in found if t[-1]}
+    spans = {(t[3], t[5], t[6]) for t in found if t[-1] or (t[3], t[4]) not in covered}
+    return [sorted((s, e) for j, s, e in spans if j == i) for i in range(len(texts))]
+
+
+def test_final_spans_equal_plain_loops(spark):
+    rnd = random.Random(21)
+    syllables = ["inter", "nation", "al", "iza", "tion", "con", "figu", "ra", "lo", "cal", "Get", "Set", "v2", "2024", "_", "-", "/"]
+    symbols = secret_scan.ALPHABETS["base64"][0]
+    texts = ["see " + "".join(rnd.choice(syllables) for _ in range(rnd.randint(5, 25))) + " there" for _ in range(600)]
+    texts += ["日本 " + "".join(rnd.choice(symbols) for _ in range(rnd.randint(20, 90))) + " x" for _ in range(80)]
+    texts += ["static/content/localization/" + "".join(rnd.choice(symbols[:62]) for _ in range(30)) for _ in range(20)]
+    texts += ["key=" + "".join(rnd.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(30)] + secrets() + [symbols, "abcdefghijklmnopqrstuvwxyz0123456789" * 3, None, ""]
+    want = slow_scan(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == "random") for r in secret_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(map(bool, want)) > 80
+
+
+def test_battery_p_value_is_uniform_for_random_strings(spark):
+    rnd = random.Random(22)
+    symbols = secret_scan.ALPHABETS["base64"][0]
+    found = [("".join(rnd.choice(symbols) for _ in range(n)),) for n in (30, 60, 150) for _ in range(700)]
+    p = [r.p for r in secret_scan.battery(spark.createDataFrame(found, "found string")).select(secret_scan.p_random().alias("p")).collect()]
+    for level in (0.01, 0.05, 0.2):
+        assert sum(x <= level for x in p) <= level * len(p) * 1.35 + 3
+    assert sum(x <= 0.5 for x in p) > 0.3 * len(p)
+
+
 def test_discovery_rule_equals_benjamini_hochberg(spark):
     rnd = random.Random(8)
     rows = [(f"s{s}", rnd.choice([0, 5, 20, 40, 60, 100])) for s in range(4) for _ in range(50 * s + 1)]
